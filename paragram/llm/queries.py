@@ -33,9 +33,22 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END_ID, 4096)
 
 
+def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import rules
+
+    return rules.judged(rules.ledger(documents(spark, sf_dir))).select(*rules.DIGEST)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
+    "op8_rule_ledger": op8_rule_ledger,
 }
 
-SQL: dict[str, str] = {}
+def _sql() -> dict[str, str]:
+    from paragram.llm import rules
+
+    return {"op8_rule_ledger": rules.SQL}
+
+
+SQL: dict[str, str] = _sql()
