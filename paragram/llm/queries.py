@@ -33,6 +33,18 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END_ID, 4096)
 
 
+def op4_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import suffix_matching
+
+    return suffix_matching.digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import prefix_counts
+
+    return prefix_counts.prefix_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), 4096, with_table=False)
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import rules
 
@@ -42,6 +54,8 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
+    "op4_suffix_array_pieces": op4_suffix_array_pieces,
+    "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_rule_ledger": op8_rule_ledger,
 }
 

@@ -15,7 +15,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from paragram.llm.textbytes import _SPACE, _row_edges, buffers, expand, slices, span_hashes, strings
+from paragram.llm.chunks import ChunkCache
+from paragram.llm.textbytes import _SPACE, _row_edges, buffers, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -47,13 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.empty(0, dtype=np.uint64)
-        self.at = np.empty(0, dtype=np.int32)
-        self.size = np.empty(0, dtype=np.int32)
-        self.ids = np.empty(0, dtype=self.type)
+        self.cache = ChunkCache(self.type, CACHE)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks one after another, and how many each has."""
@@ -82,27 +77,7 @@ class Encoder:
         if len(start) == 0:
             return np.empty(0, dtype=self.type), np.zeros(len(offsets), dtype=np.int64)
         end = np.append(start[1:], len(raw))
-        keys, first, back = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            ids, size = self._encode(strings(raw, start[first[new]], end[first[new]]))
-            if len(self.keys) and (len(self.keys) + len(new) > CACHE or len(self.ids) + len(ids) > 8 * CACHE):
-                self._clear()
-                return self.encode(raw, offsets)
-            order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
-            self.keys = np.concatenate([self.keys, keys[new]])[order]
-            self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            self.ids = np.concatenate([self.ids, ids])
-            at = np.searchsorted(self.keys, keys)
-        size = self.size[at[back]].astype(np.int64)
-        total = np.zeros(len(start) + 1, dtype=np.int64)
-        np.cumsum(size, out=total[1:])
-        out = self.ids[expand(self.at[at[back]].astype(np.int64), size)]
+        out, total = self.cache.rows(raw, start, end, self._encode)
         return out, total[np.searchsorted(start, offsets)]
 
 
