@@ -39,6 +39,24 @@ def op4_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_matching.digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import ranking
+
+    docs = documents(spark, sf_dir)
+    return ranking.rank(docs, ranking.train(docs, labels(spark, sf_dir)))
+
+
+def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)))
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import prefix_counts
 
@@ -55,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_suffix_array_pieces": op4_suffix_array_pieces,
+    "op6_bradley_terry_quality": op6_bradley_terry_quality,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_rule_ledger": op8_rule_ledger,
+    "op10_boosted_toxicity": op10_boosted_toxicity,
 }
 
 def _sql() -> dict[str, str]:
