@@ -27,6 +27,12 @@ def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards)
 
 
+def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import weighted_sampling
+
+    return weighted_sampling.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import packing
 
@@ -71,6 +77,7 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
+    "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_suffix_array_pieces": op4_suffix_array_pieces,
     "op6_bradley_terry_quality": op6_bradley_terry_quality,
