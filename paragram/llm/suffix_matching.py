@@ -54,7 +54,7 @@ def _search(keys: list[np.ndarray], want: list[np.ndarray], right: bool) -> np.n
 class SuffixMatcher:
     def __init__(self, path: str) -> None:
         self.model = model = pieces.load(path)
-        self.cache = ChunkCache(np.int32, 1_200_000, 6)
+        self.cache = ChunkCache(np.int32, 800_000, 6)
         if len(model.alphabet) >= (1 << _BITS) - 1:
             raise ValueError("the model's alphabet is too large")
         self.codes = np.zeros(max(map(ord, model.alphabet)) + 2, dtype=np.uint64)
@@ -170,7 +170,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         tool, _ = tools(model)
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 ids, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
@@ -198,7 +198,7 @@ def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
             data = raw.tobytes()
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 ids, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows, bounds, cuts = [], at.tolist(), offsets.tolist()
                 for i in range(b - a):
