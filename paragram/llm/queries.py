@@ -75,6 +75,12 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(rules.ledger(documents(spark, sf_dir))).select(*rules.DIGEST)
 
 
+def op9_minhash_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import ngram_join
+
+    return ngram_join.joined(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bradley_terry_quality": op6_bradley_terry_quality,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_minhash_ngram_join": op9_minhash_ngram_join,
     "op10_boosted_toxicity": op10_boosted_toxicity,
 }
 
