@@ -45,6 +45,12 @@ def op4_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_matching.digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paragram.llm import debruijn
+
+    return debruijn.deduplicated(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weighted_sampling_fingerprints": op2_weighted_sampling_fingerprints,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_suffix_array_pieces": op4_suffix_array_pieces,
+    "op5_debruijn_substring_dedup": op5_debruijn_substring_dedup,
     "op6_bradley_terry_quality": op6_bradley_terry_quality,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_rule_ledger": op8_rule_ledger,
@@ -94,9 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _sql() -> dict[str, str]:
-    from paragram.llm import rules
+    from paragram.llm import debruijn, rules
 
-    return {"op8_rule_ledger": rules.SQL}
+    return {"op5_debruijn_substring_dedup": debruijn.SQL, "op8_rule_ledger": rules.SQL}
 
 
 SQL: dict[str, str] = _sql()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,3 +45,15 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def partitions(df: DataFrame) -> int:
     """The cluster's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that written() made and are no longer read, and lets Spark drop the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if str(folder.toString()).rstrip("/").startswith(shared_root(spark).rstrip("/").replace("file://", "file:")):
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()

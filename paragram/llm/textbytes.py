@@ -187,3 +187,16 @@ def expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[i], first[i]+1, ... size[i] of them, for each i in turn."""
     out = np.cumsum(size) - size
     return np.arange(int(size.sum())) + np.repeat(first - out, size)
+
+
+class RangeHash:
+    """Hashes of any ranges of a sequence of word hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        up, self.down = _POWERS.get(len(hashes) + 1)
+        self.total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (np.asarray(end) - np.asarray(start)).astype(np.uint64)
+        return mix64((self.total[end] - self.total[start]) * self.down[start] + size)
