@@ -35,6 +35,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,6 +264,37 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """All rows and columns, with removed words taken out of text (the others joined by one space where any goes) and n_chars to match."""
+    found = deduplicated(df).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_x"), F.col("spans").alias("_spans"))
+    marked = df.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # Equal rows have equal spans; one of them is enough.
+    rows = marked.join(found.dropDuplicates(["_id", "_x"]), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_x")), "left").drop("_id", "_x", "_h")
+    at, names = rows.columns.index("text"), df.columns
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            out = []
+            for text, cuts in zip(texts, spans, strict=True):
+                if cuts:
+                    words = text.encode().split()
+                    keep = np.ones(len(words), dtype=bool)
+                    for c in cuts:
+                        keep[c["start"] : c["end"]] = False
+                    text = b" ".join(compress(words, keep)).decode()
+                out.append(text)
+            columns = [c for i, c in enumerate(batch.columns) if i < len(names)]
+            columns[at] = pa.array(out, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                size = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(columns[k].type)
+                columns[k] = pc.if_else(pc.is_null(batch.column(len(names))), columns[k], size)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, df.schema)
+
+
 #: The same for DuckDB.
 SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -193,3 +193,13 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(*[F.lit(v).cast("long").alias(k) for k, v in (("doc_id", None), ("class_id", None), ("n_links", 0), ("n_copies", 1))])
     return out.unionByName(nameless)
+
+
+def representatives(df: DataFrame) -> DataFrame:
+    """The rows of one document (of the least doc_id) of each class, with all their columns.
+
+    Rows that share an id and a text count as one.  Rows with a null doc_id stay.
+    """
+    first = joined(df).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = df.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(df.where("doc_id IS NULL"))

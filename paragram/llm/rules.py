@@ -131,6 +131,12 @@ def judged(book: DataFrame, policy: str = STANDARD) -> DataFrame:
     return book.withColumn("base_failed", failed("base@1")).withColumn("kept", ~failed("base@1") & ~failed(policy))
 
 
+def accepted(docs: DataFrame, policy: str = STANDARD) -> DataFrame:
+    """The rows that a policy keeps, with all their columns."""
+    book = ledger(docs.select("doc_id", "text", F.struct("*").alias("_row")), keep=("_row",))
+    return book.where(~failed("base@1") & ~failed(policy)).select("_row.*")
+
+
 #: The same for DuckDB, by joins instead of arrays.
 SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

@@ -30,7 +30,7 @@ from paragram.llm.chunks import ChunkCache
 from paragram.llm.features import _SIGN, Sums, upper_and_letters
 from paragram.llm.labelled import SAMPLE_ROWS, distinct_texts, training_rows
 from paragram.llm.ranking import matrix_of, scored
-from paragram.llm.textbytes import words_of
+from paragram.llm.textbytes import buffers, slices, words_of
 
 CUT = 0.7
 LEXICON_MOST = 3_000
@@ -261,3 +261,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def score(docs: DataFrame, model: Classifier, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     return scored(docs, model.lexicon.matrix, model.score, folds, held_out, CUT)
+
+
+def accepted(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows that the model doesn't reject, with all their columns; one pass, no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = buffers(batch.column(at))
+            for a, b in slices(offsets):
+                s = model.score(model.lexicon.matrix(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                yield batch.slice(a, b - a).filter(pa.array(s < CUT))
+
+    return docs.mapInArrow(run, docs.schema)
