@@ -103,7 +103,9 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     }
     measured = rows.select("doc_id", *[c for c in keep if c != id_col], *[m.cast("long").alias(k) for k, m in measures.items()])
     bits = sum((F.when(F.expr(r.failed), F.lit(BIT[r.name])).otherwise(0) for r in RULES), F.lit(0))
-    return measured.withColumn("failure_bits", bits.cast("long"))
+    # The condition is always true; being non-deterministic, it keeps the optimizer from copying the measurements' expressions
+    # into filters on the ledger, where each rule would evaluate them again.
+    return measured.withColumn("failure_bits", F.when(F.monotonically_increasing_id() >= 0, bits).cast("long"))
 
 
 def failed(policy: str, bits: str = "failure_bits") -> Column:
