@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = None
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = storage.written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("p")), "parents")
+        parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("p"))
         over = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
         jump = storage.written(parent.join(over, "p").select("node", F.col("pp").alias("root")), "jumps")
         if roots is None:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paragram.llm import storage
-from paragram.llm.textbytes import RangeHash, Words, buffers, mix64, slices, words_of
+from paragram.llm.textbytes import RangeHash, Words, buffers, expand, mix64, slices, words_of
 
 WINDOW, NODE = 35, 8
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -70,7 +70,7 @@ class Graph:
             grams = np.arange(total - NODE + 1)
             grams = self.ranges(grams, grams + NODE)
             views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - NODE + 1)
-            at = np.concatenate([views[self.window[i : i + 200_000]].argmin(axis=1) for i in range(0, len(self.window), 200_000)]) + self.window
+            at = np.concatenate([views[self.window[i : i + 50_000]].argmin(axis=1) for i in range(0, len(self.window), 50_000)]) + self.window
             self.nodes, self.node_of = np.unique(at, return_inverse=True)
             self.key = grams[self.nodes]
         self.row = np.searchsorted(w.first, self.nodes, side="right") - 1
@@ -125,7 +125,7 @@ def _scan(batches):
     """Ids, text keys, words, digest of all words, and nodes of every document."""
     for batch in batches:
         raw, offsets = buffers(batch.column(1))
-        for a, b in slices(offsets, 3 << 20):
+        for a, b in slices(offsets, 1 << 20):
             part = raw[offsets[a] : offsets[b]]
             w = words_of(part, offsets[a : b + 1] - offsets[a])
             g = Graph(w)
@@ -151,6 +151,7 @@ def _cut(words: list[bytes], gone: np.ndarray) -> tuple[int, bytes, list[dict]]:
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _LEFT = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("p", pa.int32())]))
+_PATH_NAMES = ["t", "u", "n_removed", "kept", "spans", "text", "sure", "open"]
 _PATH_SCHEMA = "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>, text string, sure array<int>, open array<struct<h1: long, h2: long, p: int>>"
 
 
@@ -158,12 +159,12 @@ def _follow(batches):
     """Windows in compacted paths, and those to verify.  Columns in: t, u, text, flags (2 * place of a repeated node + 1 if it doesn't branch)."""
     for batch in batches:
         raw, offsets = buffers(batch.column(2))
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, 1 << 20):
             part = raw[offsets[a] : offsets[b]]
             w = words_of(part, offsets[a : b + 1] - offsets[a])
             g = Graph(w)
             t, u = text_keys(w, g.hashes)
-            t_in, u_in = np.asarray(batch.column(0))[a:b], np.asarray(batch.column(1))[a:b]
+            t_in, u_in = (np.asarray(batch.column(k))[a:b] for k in (0, 1))
             flag_lists = batch.column(3).slice(a, b - a)
             flags = np.asarray(flag_lists.flatten())
             place = (flags >> 1) + np.repeat(w.first[:-1], np.asarray(flag_lists.value_lengths().fill_null(0)))
@@ -180,22 +181,24 @@ def _follow(batches):
             sure_cut, open_cut = np.searchsorted(sure_at, w.first), np.searchsorted(open_at, w.first)
             gone = covered(len(g.hashes), sure_at)
             data, cuts = part.tobytes(), w.offsets.tolist()
-            rows = []
-            for i in range(b - a):
-                if t[i] != t_in[i] or u[i] != u_in[i]:  # another text under the same id and hash
-                    continue
-                first, last = int(w.first[i]), int(w.first[i + 1])
-                s, o = slice(sure_cut[i], sure_cut[i + 1]), slice(open_cut[i], open_cut[i + 1])
-                if o.start == o.stop:
-                    n, kept, spans = _cut(data[cuts[i] : cuts[i + 1]].split(), gone[first:last])
-                    rows.append((t_in[i], u_in[i], n, kept, spans, None, None, None))
-                else:
-                    left = [{"h1": x, "h2": y, "p": p} for x, y, p in zip(h1[o].tolist(), h2[o].tolist(), (open_at[o] - first).tolist(), strict=True)]
-                    rows.append((t_in[i], u_in[i], None, None, None, data[cuts[i] : cuts[i + 1]].decode(), (sure_at[s] - first).tolist(), left))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), _SPANS, pa.string(), pa.list_(pa.int32()), _LEFT)
-                names = ["t", "u", "n_removed", "kept", "spans", "text", "sure", "open"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            named = (t == t_in) & (u == u_in)  # else another text under the same id and hash
+            none = np.diff(open_cut) == 0
+            early, late = np.flatnonzero(named & none), np.flatnonzero(named & ~none)
+            if len(early):
+                rows = [_cut(data[cuts[i] : cuts[i + 1]].split(), gone[w.first[i] : w.first[i + 1]]) for i in early.tolist()]
+                n, kept, spans = zip(*rows, strict=True)
+                done = [pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, _SPANS), *(pa.nulls(len(n), k) for k in (pa.string(), pa.list_(pa.int32()), _LEFT))]
+                yield pa.RecordBatch.from_arrays([pa.array(t_in[early]), pa.array(u_in[early]), *done], _PATH_NAMES)
+            if len(late):
+                s_size, o_size = np.diff(sure_cut)[late], np.diff(open_cut)[late]
+                at_s, at_o = expand(sure_cut[late], s_size), expand(open_cut[late], o_size)
+                sure_p = (sure_at[at_s] - np.repeat(w.first[late], s_size)).astype(np.int32)
+                open_p = (open_at[at_o] - np.repeat(w.first[late], o_size)).astype(np.int32)
+                left = pa.StructArray.from_arrays([pa.array(h1[at_o]), pa.array(h2[at_o]), pa.array(open_p)], fields=list(_LEFT.value_type))
+                text = pa.array([data[cuts[i] : cuts[i + 1]].decode() for i in late.tolist()], pa.string())
+                bounds = lambda size: pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                wait = [*(pa.nulls(len(late), k) for k in (pa.int64(), pa.binary(), _SPANS)), text, pa.ListArray.from_arrays(bounds(s_size), pa.array(sure_p)), pa.ListArray.from_arrays(bounds(o_size), left)]
+                yield pa.RecordBatch.from_arrays([pa.array(t_in[late]), pa.array(u_in[late]), *wait], _PATH_NAMES)
 
 
 def _finish(batches):
@@ -217,41 +220,39 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"))
     schema = "doc_id long, x long, t long, u long, n_words long, whole binary, pos array<int>, node array<long>, ctx array<long>"
-    scanned = storage.written(docs.mapInArrow(_scan, schema), "scanned")
+    scanned = storage.written_by(docs, _scan, schema, "scanned")
 
-    # Nodes: repeated, and unbranching.
-    nodes = scanned.select("t", "u", F.inline(F.arrays_zip("pos", "node", "ctx")))
-    where = F.xxhash64("t", "u", "pos")
-    counts = nodes.groupBy("node").agg(F.min(where).alias("q0"), F.max(where).alias("q1"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    repeated = storage.written(counts.where("q0 <> q1").select("node", (F.col("c0") == F.col("c1")).cast("int").alias("unbranching")), "nodes")
-    storage.release(spark)
+    # Nodes: repeated (at two places or more; copies of a text are one place), and unbranching.
+    nodes = scanned.select("t", F.inline(F.arrays_zip("pos", "node", "ctx")))
+    ends = [f(c).alias(f"{c}{i}") for c in ("t", "pos", "ctx") for i, f in enumerate((F.min, F.max))]
+    twice = nodes.groupBy("node").agg(*ends).where("t0 <> t1 OR pos0 <> pos1")
+    repeated = twice.select("node", (F.col("ctx0") == F.col("ctx1")).cast("int").alias("unbranching"))
 
     # Each text's own repeated nodes (at most one for each word), with one row of it to read the text from.
     own = scanned.select("t", "u", F.inline(F.arrays_zip("pos", "node"))).join(repeated, "node")
     own = own.groupBy("t", "u").agg(F.collect_set(2 * F.col("pos") + F.col("unbranching")).alias("flags"))
     key = F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), "x")
-    texts = scanned.groupBy("t", "u").agg(F.count("*").alias("copies"), F.min(key).alias("r"))
-    texts = storage.written(texts.select("t", "u", "copies", "r.id", "r.x"), "texts")
-    flagged = storage.written(own.join(texts, ["t", "u"]).select("id", "x", "t", "u", "flags"), "flags")
-    storage.release(spark, repeated)
+    texts = scanned.groupBy("t", "u").agg(F.count("*").alias("copies"), F.min(key).alias("k")).select("t", "u", "copies", "k.id", "k.x")
+    flagged = own.join(texts, ["t", "u"]).select("id", "x", "t", "u", "flags")
+    flagged = storage.written_by(flagged, iter, "id long, x long, t long, u long, flags array<int>", "flags")
+    storage.release(spark)
 
     # Paths, with the text at hand.
     source = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), "x", "text")
-    paths = source.join(flagged, ["id", "x"]).select("t", "u", "text", "flags").mapInArrow(_follow, _PATH_SCHEMA)
-    paths = storage.written(paths, "paths")
+    paths = source.join(flagged, ["id", "x"]).select("t", "u", "text", "flags")
+    paths = storage.written_by(paths, _follow, _PATH_SCHEMA, "paths")
     storage.release(spark, flagged)
 
-    # The windows left, by their source coordinates.
-    left = paths.where("text IS NOT NULL").select("t", "u", F.inline("open"))
-    spot = F.xxhash64("t", "u", "p")
-    twice = left.groupBy("h1", "h2").agg(F.min(spot).alias("q0"), F.max(spot).alias("q1")).where("q0 <> q1").select("h1", "h2")
-    hits = left.join(twice, ["h1", "h2"]).groupBy("t", "u").agg(F.collect_set("p").alias("hits"))
-    late = paths.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, ["t", "u"], "left").select("t", "u", "text", "sure", "hits")
-    late = late.mapInArrow(_finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
+    # The windows left, by their source coordinates (text and place).
+    left = paths.where("text IS NOT NULL").select("t", F.inline("open"))
+    spots = [f(c).alias(f"{c}{i}") for c in ("t", "p") for i, f in enumerate((F.min, F.max))]
+    again = left.groupBy("h1", "h2").agg(*spots).where("t0 <> t1 OR p0 <> p1").select("h1", "h2")
+    hits = left.join(again, ["h1", "h2"]).groupBy("t").agg(F.collect_set("p").alias("hits"))
+    late = paths.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, "t", "left").select("t", "u", "text", "sure", "hits")
+    late = late.transform(storage.mapped, _finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
     early = paths.where("text IS NULL").select("t", "u", "n_removed", "kept", "spans")
     results = early.unionByName(late).dropDuplicates(["t", "u"])
-    results = storage.written(texts.select("t", "u", "copies").join(results, ["t", "u"], "left"), "removed")
-    storage.release(spark, paths)
+    results = texts.select("t", "u", "copies").join(results, ["t", "u"], "left")
 
     out = scanned.select("doc_id", "x", "t", "u", "n_words", "whole").join(results, ["t", "u"])
     copied = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
@@ -292,7 +293,7 @@ def cleaned(df: DataFrame) -> DataFrame:
                 columns[k] = pc.if_else(pc.is_null(batch.column(len(names))), columns[k], size)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, df.schema)
+    return rows.transform(storage.mapped, run, df.schema)
 
 
 #: The same for DuckDB.

@@ -86,12 +86,12 @@ def text_keys(w: Words) -> np.ndarray:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key (null without words), chars, bands."""
+    """doc_id, text_key (null without words), chars, bands; a written table."""
 
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 w = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 bands = band_hashes(*shingles(w), w.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
@@ -99,7 +99,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(np.diff(w.offsets)), lists], ["doc_id", "text_key", "chars", "bands"])
 
     rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").where("id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, text_key long, chars long, bands array<long>")
+    return storage.written_by(rows, run, "doc_id long, text_key long, chars long, bands array<long>", "signed")
 
 
 def _linked(sizes: np.ndarray, row: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
@@ -158,7 +158,7 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (other documents at the threshold, copies included), n_copies (documents with the same words)."""
-    docs = storage.written(signed(df, id_col, text_col), "signed")
+    docs = signed(df, id_col, text_col)
     texts = docs.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("chars").alias("chars"), F.any_value("bands").alias("bands"))
     texts = storage.written(texts, "texts")
 
@@ -188,7 +188,7 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = texts.select("text_key", "doc_id", "copies")
     classed = least.join(links, "text_key", "left").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    texts_out = storage.written(classed.join(names, "root").select("text_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "classes")
+    texts_out = classed.join(names, "root").select("text_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     out = docs.select("doc_id", "text_key").join(texts_out, "text_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(*[F.lit(v).cast("long").alias(k) for k, v in (("doc_id", None), ("class_id", None), ("n_links", 0), ("n_copies", 1))])

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from paragram.llm import storage
 from paragram.llm.tokens import crc, encoded_rows
 
 
@@ -132,4 +133,4 @@ def pack(df: DataFrame, tokenizer: str, end: int, capacity: int = 4096, with_ids
         yield packer.rows()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{text_col}` AS text").mapInArrow(run, schema + ", ids binary" * with_ids)
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{text_col}` AS text").transform(storage.mapped, run, schema + ", ids binary" * with_ids)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paragram.llm import pieces
+from paragram.llm import pieces, storage
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.textbytes import buffers, slices
 
@@ -125,4 +125,4 @@ def prefix_counts(df: DataFrame, model: str, budget: int = 4096, with_table: boo
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, schema + ", table binary" * with_table)
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, schema + ", table binary" * with_table)

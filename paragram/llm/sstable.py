@@ -217,7 +217,7 @@ def write_shards(df: DataFrame, directory: str, tokenizer: str, end: int, id_col
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
-    return sorted(ordered.select("id", "text").mapInArrow(write, _MANIFEST).collect())
+    return sorted(ordered.select("id", "text").transform(storage.mapped, write, _MANIFEST).collect())
 
 
 def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFrame:
@@ -241,4 +241,4 @@ def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFram
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
     if not todo:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).mapInArrow(read, schema)
+    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).transform(storage.mapped, read, schema)

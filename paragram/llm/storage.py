@@ -5,10 +5,16 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +41,63 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch; rows here are whole texts, of which the default of 10,000 would be tens of megabytes.
+BATCH_ROWS = 1_500
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_ROWS rows at most (set for the session, as plans read it when they run)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def written_by(df: DataFrame, function, schema: str, name: str) -> DataFrame:
+    """df.mapInArrow(function, schema) as a table in the shared folder, written by the Python workers themselves.
+
+    What function yields goes from its worker to a file of its partition, without the way back through the JVM.  A task
+    writes under a hidden name and renames, so a repeated task replaces its file whole.
+    """
+    folder, kind = scratch(df.sparkSession, name), _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        fs, base = filesystem(folder)
+        part = TaskContext.get().partitionId()
+        own = f"{base}/_{part:06d}-{uuid.uuid4().hex}"
+        writer, held, size = None, [], 0
+
+        def flush():
+            nonlocal held, size
+            writer.write_table(pa.Table.from_batches(held, arrow))
+            held, size = [], 0
+
+        for batch in function(batches):
+            if batch.num_rows == 0:
+                continue
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                writer = pq.ParquetWriter(own, arrow, filesystem=fs, compression="zstd")
+            held.append(pa.RecordBatch.from_arrays(batch.columns, schema=arrow))
+            size += batch.nbytes
+            if size > 8 << 20:
+                flush()
+        if writer is not None:
+            if held:
+                flush()
+            writer.close()
+            fs.move(own, f"{base}/part-{part:06d}.zstd.parquet")
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
+
+    spark = df.sparkSession
+    mapped(df, run, "part long").write.format("noop").mode("overwrite").save()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(folder)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI, usable on executors (file, s3, gs, hdfs)."""
     if uri.startswith("file:"):
@@ -55,5 +118,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             if str(folder.toString()).rstrip("/").startswith(shared_root(spark).rstrip("/").replace("file://", "file:")):
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.7)

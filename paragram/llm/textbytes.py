@@ -76,7 +76,7 @@ def _row_edges(offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 #: Bytes that are hashed at a time; bounds the memory of the prefix sums.
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

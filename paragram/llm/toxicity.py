@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paragram.llm import storage
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.features import _SIGN, Sums, upper_and_letters
 from paragram.llm.labelled import SAMPLE_ROWS, distinct_texts, training_rows
@@ -129,7 +130,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_MOST) -> Lexicon:
         terms = list(seen)
         yield pa.RecordBatch.from_pydict({"term": terms, "toxic": [seen[t][0] for t in terms], "clean": [seen[t][1] for t in terms]})
 
-    counts = rows.select("text", "label").mapInArrow(count, "term string, toxic long, clean long")
+    counts = rows.select("text", "label").transform(storage.mapped, count, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = counts.where("term = ''").collect()
     n_toxic, n_clean = (totals[0]["toxic"], totals[0]["clean"]) if totals else (0, 0)
@@ -274,4 +275,4 @@ def accepted(docs: DataFrame, model: Classifier, text_col: str = "text") -> Data
                 s = model.score(model.lexicon.matrix(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 yield batch.slice(a, b - a).filter(pa.array(s < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(storage.mapped, run, docs.schema)

@@ -124,7 +124,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 part = [t or "" for t in texts[a : a + 500]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(as_text(fingerprints(part)))], ["doc_id", "fingerprint"])
 
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, fingerprint string")
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, "doc_id long, fingerprint string")
 
 
 class _Ranges:
@@ -170,7 +170,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["r", "id", "h"])
 
     # A row for each range.
-    top = rows.select("id", "h").mapInArrow(heads, "r long, id long, h long").groupBy("r").agg(F.min(F.struct("id", "h")).alias("head")).collect()
+    top = rows.select("id", "h").transform(storage.mapped, heads, "r long, id long, h long").groupBy("r").agg(F.min(F.struct("id", "h")).alias("head")).collect()
     first = {x["r"]: (x["head"]["id"], x["head"]["h"]) for x in top}
     filled = sorted(first)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}
@@ -221,7 +221,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(held) > 1:
             yield finish(held)
 
-    placed = rows.select("id", "text", "h").mapInArrow(place, "r long, ahead boolean, id long, text string, h long")
+    placed = rows.select("id", "text", "h").transform(storage.mapped, place, "r long, ahead boolean, id long, text string, h long")
     ordered = placed.repartition(parts, "r").sortWithinPartitions("r", "ahead", "id", "h").select("r", "ahead", "id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(run, schema) if filled else spark.createDataFrame([], schema)
+    return ordered.transform(storage.mapped, run, schema) if filled else spark.createDataFrame([], schema)
