@@ -10,6 +10,7 @@ from paragram.functions import split as S
 from paragram.functions import text as T
 from paragram.operators import align, dedup, retrieval, stats
 from paragram.plans.profiles import Surface
+from paragram.sources.staging import staged
 
 
 def page_lines(pages: DataFrame, page: str = "page_id", text: str = "page_text", clean=T.clean_text) -> DataFrame:
@@ -50,6 +51,7 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
     clean = T.clean_text_digits if p.name == "v32" else T.clean_text_marks
     lines = page_lines(pages, page, text, clean)
     structure = stats.learned_structure(corpus, "text", ["ord"], *p.percentiles, p.starters, p.frequent, p.clamp)
+    structure = {k: staged(v, k) for k, v in structure.items()}
     known = forms.select("form").unionByName(structure["frequent"].select(F.col("token").alias("form"))).distinct()
     names = refs.select("ref", F.explode(S.aliases(F.col("aliases"))).alias("alias")).select("ref", clean(F.col("alias")).alias("alias")).where("alias <> ''")
     pages_clean = pages.select(page, clean(F.col(text)).alias("_text"))
@@ -59,13 +61,14 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
     key = [page, "line_no"]
     cand = lines.where((surface or L.is_surface_any_case)(F.col("line")))
     tokens = cand.select(*key, F.filter(F.split(T.normalize_signs(F.col("line")), " "), lambda w: w != "").alias("t"))
-    joined = S.rejoin_hyphens(tokens, key, "t", known).withColumnRenamed("rejoined", "cand").where("cand <> ''")
+    joined = staged(S.rejoin_hyphens(tokens, key, "t", known).withColumnRenamed("rejoined", "cand").where("cand <> ''"), "lines")
     found = retrieval.surface_scores(joined, key, "cand", structure, known, p).where(F.col("score") >= least)
     cand = joined.join(found.select(*key, "coverage", "n_tokens"), key).join(with_alias, page, "left").withColumn("alias_match", F.coalesce("alias_match", F.lit(False)))
+    cand = staged(cand, "candidates")  # read several times below
     flags = cand.select(*key, "alias_match")
 
     if p.name == "v32":
-        windows = retrieval.reference_windows(refs, "ref", "ref_text")
+        windows = staged(retrieval.reference_windows(refs, "ref", "ref_text"), "windows")
         weights = retrieval.idf_table(windows)
         toks = cand.select(*key, "alias_match", S.lexical_tokens(F.col("cand")).alias("tokens"))
         hits = toks.select(*key, page).select(*key).join(on_page, page).join(windows.select("ref", "ref_id"), "ref").select(*key, "ref_id")
@@ -87,7 +90,7 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
     english = {"v3": L.english_like_share, "v31": L.english_like_alpha, "v32": lambda c: L.english_like_alpha(c, L.ENGLISH_33, 0.60)}[p.name]
     others = lines.where(like(F.col("line")) & english(F.col("line")))
     score = L.english_score(F.col("b_line")) + F.lit(0.04) * F.greatest(F.lit(0), 6 - F.col("distance")) if p.name == "v32" else None
-    anchored = cand.join(best, key)
+    anchored = staged(cand.join(best, key), "anchored")
     near = align.near_lines(anchored.select(*key, F.col("cand").alias("line")), others, [page], p.window, score).drop("line")
     out = anchored.join(near, key)
     near_points = F.when(F.col("distance") <= (3 if p.name == "v3" else 4), 2).otherwise(1 if p.name == "v32" else 0)
