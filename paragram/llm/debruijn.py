@@ -227,6 +227,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ends = [f(c).alias(f"{c}{i}") for c in ("t", "pos", "ctx") for i, f in enumerate((F.min, F.max))]
     twice = nodes.groupBy("node").agg(*ends).where("t0 <> t1 OR pos0 <> pos1")
     repeated = twice.select("node", (F.col("ctx0") == F.col("ctx1")).cast("int").alias("unbranching"))
+    # Written, so that the joins with it are between two shuffles, of which adaptive execution splits hot keys.
+    repeated = storage.written(repeated, "repeated")
 
     # Each text's own repeated nodes (at most one for each word), with one row of it to read the text from.
     own = scanned.select("t", "u", F.inline(F.arrays_zip("pos", "node"))).join(repeated, "node")
@@ -234,7 +236,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), "x")
     texts = scanned.groupBy("t", "u").agg(F.count("*").alias("copies"), F.min(key).alias("k")).select("t", "u", "copies", "k.id", "k.x")
     flagged = own.join(texts, ["t", "u"]).select("id", "x", "t", "u", "flags")
-    flagged = storage.written_by(flagged, iter, "id long, x long, t long, u long, flags array<int>", "flags")
+    flagged = storage.written(flagged, "flags")
     storage.release(spark)
 
     # Paths, with the text at hand.
@@ -247,6 +249,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = paths.where("text IS NOT NULL").select("t", F.inline("open"))
     spots = [f(c).alias(f"{c}{i}") for c in ("t", "p") for i, f in enumerate((F.min, F.max))]
     again = left.groupBy("h1", "h2").agg(*spots).where("t0 <> t1 OR p0 <> p1").select("h1", "h2")
+    again = storage.written(again, "again")
     hits = left.join(again, ["h1", "h2"]).groupBy("t").agg(F.collect_set("p").alias("hits"))
     late = paths.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, "t", "left").select("t", "u", "text", "sure", "hits")
     late = late.transform(storage.mapped, _finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")

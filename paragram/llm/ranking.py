@@ -52,9 +52,8 @@ class BradleyTerry:
 
 def fit(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> BradleyTerry:
     good, bad = x[label == 1], x[label == 0]
-    # Steps at quantiles of either label, so that the rarer one has its own.
-    steps = [np.unique(np.quantile(np.concatenate([a[:, j] for a in (good, bad) for _ in [0] if len(a)] or [np.zeros(1)]), _STEPS)) for j in range(x.shape[1])]
-    if len(good) and len(bad):
+    steps = [np.empty(0)] * x.shape[1]
+    if len(good) and len(bad):  # steps at quantiles of either label, so that the rarer one has its own
         steps = [np.unique(np.concatenate([np.quantile(good[:, j], _STEPS), np.quantile(bad[:, j], _STEPS)])) for j in range(x.shape[1])]
     model = BradleyTerry(steps, np.zeros(sum(map(len, steps))), 0.0, 0.0)
     if not (len(good) and len(bad)):

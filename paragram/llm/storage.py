@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,7 +22,7 @@ def shared_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="paragram-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -36,9 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives the loss of executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_by(df, iter, df.schema, name)
 
 
 #: Rows in an Arrow batch; rows here are whole texts, of which the default of 10,000 would be tens of megabytes.
@@ -53,13 +51,13 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def written_by(df: DataFrame, function, schema: str, name: str) -> DataFrame:
+def written_by(df: DataFrame, function, schema: str | StructType, name: str) -> DataFrame:
     """df.mapInArrow(function, schema) as a table in the shared folder, written by the Python workers themselves.
 
     What function yields goes from its worker to a file of its partition, without the way back through the JVM.  A task
     writes under a hidden name and renames, so a repeated task replaces its file whole.
     """
-    folder, kind = scratch(df.sparkSession, name), _parse_datatype_string(schema)
+    folder, kind = scratch(df.sparkSession, name), schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches):

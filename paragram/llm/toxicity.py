@@ -41,7 +41,7 @@ INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "los
 SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros")
 _LOOK_ALIKE = str.maketrans("013457@$!|€+", "oieastasiiet")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_MIXED = re.compile(r"[^\W\d_][^\w\s'’.,\-]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|^\d*[$@]+[^\W\d_]")
+_MIXED = re.compile(r"[^\W\d_][^\w\s'’.,\-]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|^\d*[$@]+[^\W\d_]|^\d[^\W\d_]{3,}")
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
