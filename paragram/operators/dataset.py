@@ -51,10 +51,10 @@ def vocabulary(df: DataFrame, text: str, order: list[str], max_size: int = 20_00
 
 def encode(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, bos: bool = False, eos: bool = False, most: int | None = None) -> DataFrame:
     """keys, ids: unknown words as UNK; cut to `most` after the marks are added (which may cut off EOS)."""
-    w = df.select(*keys, F.posexplode_outer(T.words(F.col(text))).alias("i", "token"))
+    w = df.select(*keys, F.posexplode_outer(T.words(F.col(text))).alias("_i", "token"))
     w = w.join(F.broadcast(vocab.select("token", "id")), "token", "left")  # bounded by the vocabulary's size
-    w = w.withColumn("id", F.when(F.col("i").isNotNull(), F.coalesce("id", F.lit(UNK))))
-    got = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "id"))))
+    w = w.withColumn("id", F.when(F.col("_i").isNotNull(), F.coalesce("id", F.lit(UNK))))
+    got = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "id"))))
     ids = F.transform("g", lambda x: x["id"])
     ids = F.concat(*[F.array(F.lit(BOS))] * bos, ids, *[F.array(F.lit(EOS))] * eos)
     out = w.groupBy(*keys).agg(got.alias("g")).select(*keys, ids.alias("ids"))
@@ -66,8 +66,8 @@ def decode(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame) -> DataFr
     end = F.array_position(ids, EOS)
     body = F.when(end > 0, F.slice(F.col(ids), F.lit(1), (end - 1).cast("int"))).otherwise(F.col(ids))
     body = F.filter(body, lambda x: ~x.isin(PAD, BOS))
-    w = df.select(*keys, F.posexplode_outer(body).alias("i", "id")).join(F.broadcast(vocab.select("id", "token")), "id", "left")
-    got = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "token"))))
+    w = df.select(*keys, F.posexplode_outer(body).alias("_i", "id")).join(F.broadcast(vocab.select("id", "token")), "id", "left")
+    got = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "token"))))
     return w.groupBy(*keys).agg(got.alias("g")).select(*keys, F.array_join(F.transform("g", lambda x: x["token"]), " ").alias("text"))
 
 

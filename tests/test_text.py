@@ -20,7 +20,7 @@ def test_unicode_white_space(spark):
 
 
 def test_markup_and_signs(spark):
-    assert one(spark, T.strip_markup, "ab <big> {x}[y] (12) fig. 3 p12q") == "ab <gap> xy p12q"
+    assert one(spark, T.strip_markup, "ab <big> {x}[y] (12) fig. 3 p12q") == "ab <gap> x y p12q"
     assert one(spark, T.normalize_signs, "a — b–c, d/e|f... g!") == "a-b-c d e f g"
     assert one(spark, T.normalize_transliteration, "[...] x x x sz Ḫa") == "<gap> <gap> š Ha"
     assert one(spark, T.normalize_transliteration, None) == ""
