@@ -32,12 +32,12 @@ def clean_text(c: Column) -> Column:
 
 def clean_text_marks(c: Column) -> Column:
     """clean_text with NUL and BOM as spaces."""
-    return clean_text(F.translate(c, "\x00﻿", "  "))
+    return clean_text(F.translate(c, "\x00\ufeff", "  "))
 
 
 def clean_text_digits(c: Column) -> Column:
     """clean_text_marks with subscript and superscript digits as plain ones."""
-    return clean_text(F.translate(F.translate(c, "\x00﻿", "  "), DIGITS_SMALL, DIGITS_PLAIN))
+    return clean_text(F.translate(F.translate(c, "\x00\ufeff", "  "), DIGITS_SMALL, DIGITS_PLAIN))
 
 
 def strip_markup(c: Column) -> Column:

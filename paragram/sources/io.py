@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 log = logging.getLogger("paragram")
 
 #: Where str.splitlines() ends a line.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], keep_missing: bool = False, **options) -> DataFrame:
@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], keep_missing: b
     NUL characters vanish.  Such files can't be split between tasks: convert large ones once with to_parquet.
     """
     raw = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", **options).csv(path)
-    names = {c.lstrip("﻿"): c for c in raw.columns}
+    names = {c.lstrip("\ufeff"): c for c in raw.columns}
     cell = lambda c: F.replace(F.col(f"`{names[c]}`"), F.lit("\x00"), F.lit("")) if c in names else F.lit(None).cast("string")
     return raw.select(*[(cell(c) if keep_missing else F.coalesce(cell(c), F.lit(""))).alias(c) for c in columns])
 

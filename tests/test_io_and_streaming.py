@@ -7,13 +7,13 @@ from paragram.streaming import pages as stream
 
 def test_csv_with_bom_nul_and_newlines(spark, tmp_path):
     f = tmp_path / "a.csv"
-    f.write_bytes("﻿name,text\na,\"x\ny \"\"q\"\"\x00\"\nb,\n".encode())
+    f.write_bytes("\ufeffname,text\na,\"x\ny \"\"q\"\"\x00\"\nb,\n".encode())
     rows = io.read_csv(spark, str(f), ["name", "text", "missing"]).collect()
     assert [(r.name, r.text, r.missing) for r in rows] == [("a", 'x\ny "q"', ""), ("b", "", "")]
 
 
 def test_parallel_files(spark, tmp_path):
-    (tmp_path / "a.src").write_text("One  A\nTwo\nx y\n", encoding="utf-8")
+    (tmp_path / "a.src").write_text("One  A\nTwo\nx\u2028y\n", encoding="utf-8")
     (tmp_path / "a.tgt").write_text("eins\n\ndrei\nvier\nfünf", encoding="utf-8")
     got = io.read_parallel(spark, str(tmp_path / "a.src"), str(tmp_path / "a.tgt"), T.clean_text).orderBy("line_no").collect()
     assert [(r.line_no, r.src, r.tgt) for r in got] == [(1, "one a", "eins"), (2, "two", ""), (3, "x", "drei"), (4, "y", "vier")]

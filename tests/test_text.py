@@ -14,8 +14,8 @@ def one(spark, column, value, kind="string"):
 
 
 def test_unicode_white_space(spark):
-    assert one(spark, T.clean_text, "A  b\x1cc ") == "a b c"
-    assert one(spark, T.words, " a　b \n") == ["a", "b"]
+    assert one(spark, T.clean_text, "A\xa0\u2003b\x1cc ") == "a b c"
+    assert one(spark, T.words, " a\u3000b \n") == ["a", "b"]
     assert one(spark, T.words, "") == []
 
 
