@@ -25,7 +25,7 @@ def library(name, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunked_ids_are_the_librarys(name):
-    odd = ["", None, "  a  b\n\n c\t", "<|endoftext|> x <|startoftext|>y", "é  b 　　 c", "á ́b  x\r\n\r\ny  ", "I'll don't 123 ### \x1c \x85 z", "ΑΣ Σ ΟΔΟΣ İ", "x" * 3000, "日本語 。 b", "a <| b |>"]
+    odd = ["", None, "  a  b\n\n c\t", "<|endoftext|> x <|startoftext|>y", "é  b \u3000\u3000 c", "á ́b  x\r\n\r\ny  ", "I'll don't 123 ### \x1c \x85 z", "ΑΣ Σ ΟΔΟΣ İ", "x" * 3000, "日本語 。 b", "a <| b |>"]
     column = pa.array(odd + [r[1] for r in corpus()])
     got = [ids[b[i] : b[i + 1]].tolist() for _, ids, b in tokens.encoded_rows(column, tokenizer_path(name), 2) for i in range(len(b) - 1)]
     assert got == [ids + [2] for ids in library(name, column.to_pylist())]
@@ -134,7 +134,7 @@ def test_sum_of_squares_by_brute_force():
             del levels[window]
 
 
-ODD = ["", None, "  a  b\n\n c\t", "<s> x </s> <unk> <0x0A>", "é  b 　 c", "▁▁a ▁ b▁", " " * 35 + "x" + " " * 40, "\n", " ", "日本語 😀😀 b\x00c", "x" * 900, "aaaaaaabbbb", "12345 678", " " * 17]
+ODD = ["", None, "  a  b\n\n c\t", "<s> x </s> <unk> <0x0A>", "é  b \u3000 c", "▁▁a ▁ b▁", " " * 35 + "x" + " " * 40, "\n", " ", "日本語 😀😀 b\x00c", "x" * 900, "aaaaaaabbbb", "12345 678", " " * 17]
 
 
 def test_piece_counts_of_every_prefix():
