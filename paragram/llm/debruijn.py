@@ -255,7 +255,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     late = late.transform(storage.mapped, _finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
     early = paths.where("text IS NULL").select("t", "u", "n_removed", "kept", "spans")
     results = early.unionByName(late).dropDuplicates(["t", "u"])
-    results = texts.select("t", "u", "copies").join(results, ["t", "u"], "left")
+    results = storage.written(texts.select("t", "u", "copies").join(results, ["t", "u"], "left"), "removed")
+    storage.release(spark, paths, again)
 
     out = scanned.select("doc_id", "x", "t", "u", "n_words", "whole").join(results, ["t", "u"])
     copied = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
