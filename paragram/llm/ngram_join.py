@@ -189,6 +189,7 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classed = least.join(links, "text_key", "left").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     texts_out = classed.join(names, "root").select("text_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    texts_out = storage.written(texts_out, "classes")  # so that adaptive execution can split the documents of a very frequent text
     out = docs.select("doc_id", "text_key").join(texts_out, "text_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(*[F.lit(v).cast("long").alias(k) for k, v in (("doc_id", None), ("class_id", None), ("n_links", 0), ("n_copies", 1))])
@@ -203,3 +204,18 @@ def representatives(df: DataFrame) -> DataFrame:
     first = joined(df).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = df.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(df.where("doc_id IS NULL"))
+
+
+#: The same for DuckDB, over all pairs with a common shingle.
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM docs UNION SELECT link.b AS d, reach.r FROM reach JOIN link ON link.a = reach.d),
+class AS (SELECT d AS doc_id, min(r) AS class_id FROM reach GROUP BY 1),
+links AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, CASE WHEN len(w) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY w) END AS n_copies
+FROM docs JOIN class USING (doc_id) LEFT JOIN links USING (doc_id)
+"""

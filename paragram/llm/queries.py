@@ -101,9 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _sql() -> dict[str, str]:
-    from paragram.llm import debruijn, rules
+    from paragram.llm import debruijn, ngram_join, rules
 
-    return {"op5_debruijn_substring_dedup": debruijn.SQL, "op8_rule_ledger": rules.SQL}
+    return {"op5_debruijn_substring_dedup": debruijn.SQL, "op8_rule_ledger": rules.SQL, "op9_minhash_ngram_join": ngram_join.SQL}
 
 
 SQL: dict[str, str] = _sql()
