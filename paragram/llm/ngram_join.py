@@ -34,7 +34,7 @@ from paragram.llm.textbytes import Words, buffers, mix64, slices, words_of
 
 THRESHOLD, RECALL, ROWS = 0.8, 0.99999, 4
 #: Texts and characters of a block of a bucket.
-BLOCK_TEXTS, BLOCK_CHARS = 1_024, 6_000_000
+BLOCK_TEXTS, BLOCK_CHARS = 512, 3_000_000
 _BAND_BITS = 6
 
 
@@ -131,10 +131,10 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     good = np.flatnonzero(text_keys(w) == keys)
     good = good[np.unique(keys[good], return_index=True)[1]]
     row, h = shingles(w)
-    pairs = np.unique(np.stack([row.astype(np.uint64), h], axis=1), axis=0) if len(h) else np.empty((0, 2), dtype=np.uint64)
+    first = np.unique(mix64(h ^ mix64(row.astype(np.uint64))), return_index=True)[1]  # of each distinct shingle of a text
     place = np.full(w.rows, -1)
     place[good] = np.arange(len(good))
-    row, h = place[pairs[:, 0].astype(np.int64)], pairs[:, 1]
+    row, h = place[row[first]], h[first]
     row, h = row[row >= 0], h[row >= 0]
     keys, block = keys[good], np.asarray(table["block"].combine_chunks())[good]
     copies = np.asarray(table["copies"].combine_chunks())[good]
