@@ -135,6 +135,58 @@ def best_reference(cands: DataFrame, keys: list[str], text: str, refs: DataFrame
     return best.select(*keys, "b.score", F.col("b.r_text").alias("reference"))
 
 
+def reference_lines(refs: DataFrame, ref: str, text: str) -> DataFrame:
+    """ref, n (place among the lines of all references), line, tokens: the cleaned units of each reference."""
+    unit = S.normalized_units(F.col(text), T.clean_text_marks)
+    out = refs.select(F.col(ref).alias("ref"), F.posexplode(unit).alias("pos", "line"))
+    return out.select("ref", (F.col("ref") * 1_000_000 + F.col("pos")).cast("long").alias("n"), "line", S.lexical_tokens(F.col("line"), T.clean_text_marks).alias("tokens"))
+
+
+def best_reference_line(cands: DataFrame, keys: list[str], page: str, text: str, lines: DataFrame, names: DataFrame, on_page: DataFrame, weight: float = 0.55, first: int = 3000, most: int = 500, gap: int = 18, least: float = 0.46) -> DataFrame:
+    """Pool of single reference lines: those of the aliases on the page, then those with the same first token, then the `first` first ones.
+
+    Of repeated texts the first place counts; then the difference of token counts (gap) and the pool's size (most).
+    lines: reference_lines.  names: alias, ref, pos.  on_page: page, alias.  keys (with the page), score, reference; scores below `least` may be missing.
+    Every source is cut to its first `most` texts of each token count beforehand, which the pool's size makes exact.
+    """
+
+    def firsts(rows: DataFrame, part: list[str], *order: str) -> DataFrame:
+        return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_p") <= most).drop("_p")
+
+    c = cands.select(*keys, F.col(text).alias("c_text"), S.lexical_tokens(F.col(text), T.clean_text_marks).alias("c_tokens")).where(F.size("c_tokens") > 0)
+    c = c.withColumn("k", F.size("c_tokens")).withColumn("ft", F.get("c_tokens", F.lit(0)))
+    texts = lines.groupBy("line").agg(F.min("n").alias("id"), F.first("tokens").alias("tokens"))
+    known = lines.join(texts.select("line", "id"), "line").select("ref", "n", "id", F.size("tokens").alias("size"))
+
+    listed = names.join(known.select("ref", "n", "id", "size"), "ref")
+    place = listed.groupBy("alias").agg(F.min(F.struct("ref", "pos")).alias("place"))  # where the alias comes first
+    listed = firsts(listed.groupBy("alias", "id", "size").agg(F.min("n").alias("ord")), ["alias", "size"], "ord").join(place, "alias")
+    hits = on_page.select(page, "alias").distinct().join(listed, "alias").groupBy(page, "id", "size").agg(F.min(F.struct("place", "ord")).alias("at"))
+    hits = firsts(hits, [page, "size"], "at")
+    near = F.abs(F.col("k") - F.col("size")) <= gap
+    none = F.lit(None).cast(hits.schema["at"].dataType["place"].dataType)
+    columns = lambda src, at: [*keys, "id", F.struct(F.lit(src).alias("src"), at["place"].alias("place"), at["ord"].alias("ord")).alias("at")]
+    plain = {"place": none, "ord": F.col("id")}
+    by_alias = c.join(hits, page).where(near).select(*columns(0, {"place": F.col("at.place"), "ord": F.col("at.ord")}))
+
+    worded = texts.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("size"), F.get("tokens", F.lit(0)).alias("ft"))
+    same = c.join(firsts(worded, ["ft", "size"], "id"), "ft").where(near).select(*columns(1, plain))
+    ahead = lines.where(F.size("tokens") > 0).select("n", "line").orderBy("n").limit(first).join(texts.select("line", "id", F.size("tokens").alias("size")), "line")
+    ahead = ahead.select("id", F.explode(F.sequence(F.col("size") - gap, F.col("size") + gap)).alias("k")).distinct()
+    ahead = F.broadcast(firsts(ahead, ["k"], "id"))  # `first` lines for 2 * gap + 1 counts at most
+    first_ones = c.join(ahead, "k").select(*columns(2, plain))
+
+    pool = by_alias.unionByName(same).unionByName(first_ones).groupBy(*keys, "id").agg(F.min("at").alias("at"))
+    pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("place") <= most).select(*keys, "id", "place")
+    pool = pool.join(texts.select("id", F.col("line").alias("r_text"), F.col("tokens").alias("r_tokens")), "id").join(c.select(*keys, "c_text", "c_tokens"), keys)
+    shared = jaccard(F.array_distinct("c_tokens"), F.array_distinct("r_tokens"))
+    a, b = F.length("c_text"), F.length("r_text")
+    pool = pool.withColumn("shared", shared).where(weight * 2 * F.least(a, b) / (a + b) + F.lit(1 - weight) * F.col("shared") >= least - 1e-9)
+    score = F.lit(weight) * fuzzy_ratio(F.col("c_text"), F.col("r_text")) + F.lit(1 - weight) * F.col("shared")
+    best = pool.withColumn("score", score).groupBy(*keys).agg(F.min(F.struct((-F.bround("score", 9)).alias("o"), "place", "score", "r_text")).alias("b"))
+    return best.select(*keys, "b.score", F.col("b.r_text").alias("reference"))
+
+
 def surface_scores(lines: DataFrame, keys: list[str], line: str, structure: dict[str, DataFrame], forms: DataFrame, p: Surface) -> DataFrame:
     """keys, n_tokens, coverage, score, detected: lexicon coverage, hyphens, learned lengths, first and frequent tokens."""
     t = lines.select(*keys, F.col(line).alias("_line"), S.lexical_tokens(F.col(line)).alias("_tokens")).where(F.size("_tokens") > 0)

@@ -53,9 +53,14 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
     structure = stats.learned_structure(corpus, "text", ["ord"], *p.percentiles, p.starters, p.frequent, p.clamp)
     structure = {k: staged(v, k) for k, v in structure.items()}
     known = forms.select("form").unionByName(structure["frequent"].select(F.col("token").alias("form"))).distinct()
-    names = refs.select("ref", F.explode(S.aliases(F.col("aliases"))).alias("alias")).select("ref", clean(F.col("alias")).alias("alias")).where("alias <> ''")
+    names = refs.select("ref", F.posexplode(S.aliases(F.col("aliases"))).alias("pos", "alias")).select("ref", "pos", clean(F.col("alias")).alias("alias")).where("alias <> ''")
+    v31 = p.name == "v31"
+    if v31:
+        ref_lines = staged(retrieval.reference_lines(refs, "ref", "ref_text"), "reference-lines")
+        names = names.join(ref_lines.select("ref").distinct(), "ref", "left_semi")
     pages_clean = pages.select(page, clean(F.col(text)).alias("_text"))
-    on_page = retrieval.alias_containment(pages_clean, [page], "_text", names.select("alias", "ref")).select(page, "ref").distinct()
+    on_page = retrieval.alias_containment(pages_clean, [page], "_text", names.select("alias", "ref")).select(page, "alias", "ref").distinct()
+    on_page = staged(on_page, "on-page") if v31 else on_page.select(page, "ref").distinct()
     with_alias = on_page.select(page).distinct().withColumn("alias_match", F.lit(True))
 
     key = [page, "line_no"]
@@ -78,9 +83,11 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
         best = retrieval.rerank_final(short, key, texts, windows, F.col("alias_match")).where("matched")
         best = best.select(*key, F.col("final").alias("reference_score"), F.col("window_text").alias("reference"), "shared", "overlap")
     else:
-        numbered = refs.select("ref", T.clean_text_marks(F.col("ref_text")).alias("r")).where("r <> ''").withColumn("n", F.col("ref"))
-        v31 = p.name == "v31"
-        best = retrieval.best_reference(cand, key, "cand", numbered, "n", "r", 0.55 if v31 else 0.65, 3000 if v31 else 2000, 500 if v31 else 300, 18 if v31 else None, not v31)
+        if v31:
+            best = retrieval.best_reference_line(cand, key, page, "cand", ref_lines, names, on_page)
+        else:
+            numbered = refs.select("ref", T.clean_text_marks(F.col("ref_text")).alias("r")).where("r <> ''").withColumn("n", F.col("ref"))
+            best = retrieval.best_reference(cand, key, "cand", numbered, "n", "r")
         ok = F.col("score") >= p.accept
         if v31:
             ok = ok | (F.col("alias_match") & (F.col("score") >= 0.46))
