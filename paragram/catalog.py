@@ -473,7 +473,7 @@ def union_merge(spark, sf_dir):
 def _archive(spark, sf_dir):
     n = X.table(spark, sf_dir, "nation")
     published = n.select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_regionkey").cast("string").alias("ref_id"), F.concat(F.col("n_name"), F.lit(" | "), F.lower("n_name"), F.lit(", x;"), F.substring("n_name", 1, 1)).alias("aliases"), F.concat(F.lit(" k"), "n_nationkey", F.lit(" ")).alias("excavation_no"), F.concat(F.lit("text of "), "n_name").alias("transliteration"))
-    s = X.table(spark, sf_dir, "supplier").where("s_suppkey <= 30")
+    s = X.table(spark, sf_dir, "supplier")
     alias = F.substring(F.array_join(F.array(F.chr(65 + F.col("s_nationkey"))), ""), 1, 1)
     literals = s.select(F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 2 == 0, "alias").otherwise("excavation").alias("source_kind"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" "), alias, F.lit("|z"))).otherwise(F.concat(F.lit("k"), "s_nationkey")).alias("match_key"), F.concat(F.lit("line\n12\nof "), "s_name", F.lit("-\nend.")).alias("translation"))
     known = X.table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.col("r_regionkey").cast("string").alias("ref_id"))

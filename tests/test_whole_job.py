@@ -1,11 +1,23 @@
 """Operators and queries over the whole of their input, against plain loops and statements without cuts."""
 
+import glob
+import os
 import random
 from difflib import SequenceMatcher
 
+import duckdb
+
+from paragram import catalog
 from paragram.operators import retrieval
 
 
+def _rows(sf, sql):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con.execute(sql).fetchall()
+
+
 def _loop(cand, page_text, alias_map, index, lines, gap, first, most):
     """The v3.1 search in plain Python."""
     tokens, pool, seen = cand.split(), [], set()
@@ -63,3 +75,23 @@ def test_a_page_line_finds_its_line_of_a_long_reference(spark):
     forms = retrieval.lexicon(refs, "ref_text")
     got = pages.mined(page, refs, corpus, forms, SURFACES["v31"], surface=lambda c: c.rlike("-"), least=0, accept=0).collect()
     assert {(r.reference, round(r.reference_score, 6)) for r in got} == {(line, 1.0)}
+
+
+def test_archive_join_reads_every_supplier(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") + 1000)
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    literals, _, _ = catalog._archive(spark, str(tmp_path))
+    assert literals.count() == suppliers.count() > 0
+    assert catalog.archive_join(spark, str(tmp_path)).count() > 0
+
+
+def test_archive_join_against_the_statement_without_its_filter(spark):
+    sf, cut = "/root/testdata/sf0.1", " WHERE s_suppkey <= 30"
+    sql = catalog.SQL["archive_join"]
+    want = _rows(sf, f"SELECT source, match_key, ref_id, is_new, aliases, excavation_no, transliteration, translation FROM ({sql.replace(cut, '')})")
+    got = catalog.archive_join(spark, sf).select("source", "match_key", "ref_id", "is_new", "aliases", "excavation_no", "transliteration", "translation")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
