@@ -744,7 +744,7 @@ voc AS (SELECT token, 3 + row_number() OVER (ORDER BY n DESC, o) AS id, n FROM (
 
 
 def _vocab(spark, sf_dir, side="src"):
-    return dataset.vocabulary(_split(spark, sf_dir).where("part = 'train'"), side, ["conv_id", "turn", "pos"], 500, 2)
+    return dataset.vocabulary(_split(spark, sf_dir).where("part = 'train'"), side, ["conv_id", "turn", "pos"])
 
 
 @query(f"WITH {_VOC} SELECT token, CAST(id AS BIGINT) AS id, n FROM voc UNION ALL SELECT * FROM (VALUES ('<pad>', CAST(0 AS BIGINT), CAST(NULL AS BIGINT)), ('<unk>', 1, NULL), ('<bos>', 2, NULL), ('<eos>', 3, NULL))")

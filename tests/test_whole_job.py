@@ -95,3 +95,10 @@ def test_archive_join_against_the_statement_without_its_filter(spark):
     want = _rows(sf, f"SELECT source, match_key, ref_id, is_new, aliases, excavation_no, transliteration, translation FROM ({sql.replace(cut, '')})")
     got = catalog.archive_join(spark, sf).select("source", "match_key", "ref_id", "is_new", "aliases", "excavation_no", "transliteration", "translation")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_vocabulary_holds_every_frequent_word(spark):
+    sf = "/root/testdata/sf0.1"
+    want = _rows(sf, f"SELECT token, id, n FROM ({catalog.SQL['vocab_build'].replace('LIMIT 496', 'LIMIT 19996')})")
+    got = [tuple(r) for r in catalog.vocab_build(spark, sf).select("token", "id", "n").collect()]
+    assert len(got) > 500 and sorted(got, key=str) == sorted(want, key=str)
