@@ -553,7 +553,7 @@ def alias_containment(spark, sf_dir):
 
 @query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, line) OR contains(replace(b.text, '-', ''), replace(line, '-', '')))")
 def line_in_reference(spark, sf_dir):
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 20)
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return retrieval.lines_in_references(lines, "line", X.table(spark, sf_dir, "benchmark"), "text")
 
 

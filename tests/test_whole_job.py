@@ -102,3 +102,15 @@ def test_vocabulary_holds_every_frequent_word(spark):
     want = _rows(sf, f"SELECT token, id, n FROM ({catalog.SQL['vocab_build'].replace('LIMIT 496', 'LIMIT 19996')})")
     got = [tuple(r) for r in catalog.vocab_build(spark, sf).select("token", "id", "n").collect()]
     assert len(got) > 500 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_short_lines_are_found_in_references(spark, tmp_path):
+    spark.createDataFrame([(0, "tiny\nno such line\n\n"), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "a tiny text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in catalog.line_in_reference(spark, str(tmp_path)).select("doc_id", "line").collect()] == [(0, "tiny")]
+
+
+def test_line_in_reference_against_the_statement_for_all_lines(spark, sf):
+    want = _rows(sf, f"SELECT doc_id, line FROM ({catalog.SQL['line_in_reference'].replace('length(line) >= 20', 'length(line) > 0')})")
+    got = catalog.line_in_reference(spark, sf).select("doc_id", "line")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
