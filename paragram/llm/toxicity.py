@@ -6,7 +6,8 @@ of toxic texts, the share of lexicon words near a second person, capitals,
 punctuation and obfuscated words.  The lexicon is a short fixed list joined by
 words and word beginnings that are significantly more frequent in toxic
 training documents (document counts, made on the executors, with groups of
-copies counted once; LEXICON_MOST entries at most).  Trees fit the logistic loss on histograms of the features.
+copies counted once; LEXICON_MOST entries at most).  Trees fit the logistic loss on histograms of the features,
+which for training come from lexicons of the other folds; at every size alike.
 Scores are calibrated by isotonic regression on out-of-fold predictions.
 
 Learns from a bounded sample (labelled.SAMPLE_ROWS).  Null and empty texts
@@ -36,6 +37,8 @@ from paragram.llm.textbytes import buffers, slices, words_of
 CUT = 0.7
 LEXICON_MOST = 3_000
 NEAR = 5
+#: Parts of the sample for cross-fitting and calibration.
+FOLDS = 4
 #: Fixed lists: common English insults, and words of the second person in four languages.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "trash", "garbage", "scum", "clown", "pathetic", "worthless", "disgusting", "ugly", "fool", "imbecile", "jerk", "hate", "kill", "shut", "freak", "vermin", "filth")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros")
@@ -113,35 +116,46 @@ class Lexicon:
 FEATURES = ("lexicon", "beginnings", "log_lexicon", "log_beginnings", "hidden_lexicon", "near_second_person", "second_person", "capitals", "punctuation", "exclamations", "obfuscated", "log_words")
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON_MOST) -> Lexicon:
-    """Words and beginnings with significantly more toxic documents than their share."""
+def learn_lexicons(rows: DataFrame, folds: int, most: int = LEXICON_MOST) -> list[Lexicon]:
+    """Words and beginnings with significantly more toxic documents than their share: of the rows outside each fold (part % folds), then of all."""
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
-        toxic = clean = 0
+        seen: dict[tuple[str, int], list[int]] = {}
+
+        def counts():
+            return pa.RecordBatch.from_pydict({"term": [t for t, _ in seen], "fold": pa.array([k for _, k in seen], pa.int32()), "toxic": [n[0] for n in seen.values()], "clean": [n[1] for n in seen.values()]})
+
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = {bare(x) for x in set(re.findall(r"[^\x20\x09-\x0D]+", text or ""))} - {""}
                 terms = {"w" + x for x in own if len(x) < 40} | {f"b{x[:n]}" for x in own for n in _PREFIXES if len(x) > n}
-                toxic, clean = toxic + (label == 1), clean + (label != 1)
-                for t in terms:
-                    seen.setdefault(t, [0, 0])[label != 1] += 1
-        seen[""] = [toxic, clean]
-        terms = list(seen)
-        yield pa.RecordBatch.from_pydict({"term": terms, "toxic": [seen[t][0] for t in terms], "clean": [seen[t][1] for t in terms]})
-
-    counts = rows.select("text", "label").transform(storage.mapped, count, "term string, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = counts.where("term = ''").collect()
-    n_toxic, n_clean = (totals[0]["toxic"], totals[0]["clean"]) if totals else (0, 0)
-    if not n_toxic or not n_clean:
-        return Lexicon(frozenset(INSULTS), frozenset())
-    share_t, share_c = (F.col("toxic") + 0.5) / (n_toxic + 1.0), (F.col("clean") + 0.5) / (n_clean + 1.0)
-    odds = F.log(share_t / share_c)
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = counts.where("term <> '' AND toxic >= 3").withColumn("z", odds / error).where((odds > 1.2) & (F.col("z") > 2.3))
-    best = [r["term"] for r in found.orderBy(F.desc("z"), "term").limit(most).collect()]
-    return Lexicon(frozenset(INSULTS) | {t[1:] for t in best if t[0] == "w"}, frozenset(t[1:] for t in best if t[0] == "b"))
+                for t in terms | {""}:
+                    seen.setdefault((t, part % folds), [0, 0])[label != 1] += 1
+                if len(seen) > 200_000:
+                    yield counts()
+                    seen.clear()
+        if seen:
+            yield counts()
+
+    counted = rows.select("text", "label", "part").transform(storage.mapped, count, "term string, fold int, toxic long, clean long")
+    outside = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(folds) for c in ("toxic", "clean")]
+    counted = counted.groupBy("term").agg(*outside, F.sum("toxic").alias(f"toxic_{folds}"), F.sum("clean").alias(f"clean_{folds}"))
+    counted = storage.written(counted.where(f"term = '' OR toxic_{folds} >= 3"), "terms")
+    totals = counted.where("term = ''").collect()
+    out = []
+    for k in range(folds + 1):
+        n_toxic, n_clean = (totals[0][f"toxic_{k}"], totals[0][f"clean_{k}"]) if totals else (0, 0)
+        if not n_toxic or not n_clean:
+            out.append(Lexicon(frozenset(INSULTS), frozenset()))
+            continue
+        counts = counted.select("term", F.col(f"toxic_{k}").alias("toxic"), F.col(f"clean_{k}").alias("clean"))
+        share_t, share_c = (F.col("toxic") + 0.5) / (n_toxic + 1.0), (F.col("clean") + 0.5) / (n_clean + 1.0)
+        odds = F.log(share_t / share_c)
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        found = counts.where("term <> '' AND toxic >= 3").withColumn("z", odds / error).where((odds > 1.2) & (F.col("z") > 2.3))
+        best = [r["term"] for r in found.orderBy(F.desc("z"), "term").limit(most).collect()]
+        out.append(Lexicon(frozenset(INSULTS) | {t[1:] for t in best if t[0] == "w"}, frozenset(t[1:] for t in best if t[0] == "b")))
+    return out
 
 
 @dataclass
@@ -237,7 +251,7 @@ class Classifier:
         return 0.998 * level + 0.002 / (1 + np.exp(-raw))  # the last part orders what calibration ties
 
 
-def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: np.ndarray, folds: int = 4) -> Classifier:
+def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: np.ndarray, folds: int = FOLDS) -> Classifier:
     if len(y) == 0 or y.min() == y.max():
         return Classifier(lexicon, Boosted(float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), []), np.empty(0), np.empty(0))
     out, fold = np.full(len(y), np.nan), part % folds
@@ -251,12 +265,11 @@ def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: np.ndarray, folds:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, most: int = SAMPLE_ROWS) -> Classifier:
-    """The lexicon comes from one part of a large sample and the trees from the other, so that the trees see it as on new texts."""
+    """Cross-fitted: the features of each of FOLDS parts of the sample come from the lexicon of the other parts, so that the trees see it as on new texts."""
     rows = distinct_texts(training_rows(docs, labels, label, folds, held_out, most))
-    large = rows.count() >= 6_000
-    lexicon = learn_lexicon(rows.where("part < 50") if large else rows)
-    x, y, part = matrix_of(rows.where("part >= 50") if large else rows, lexicon.matrix)
-    return fit(lexicon, x, y, part)
+    *others, lexicon = learn_lexicons(rows, FOLDS)
+    each = [matrix_of(rows.where(F.col("part") % FOLDS == k), own.matrix) for k, own in enumerate(others)]
+    return fit(lexicon, *(np.concatenate(columns) for columns in zip(*each, strict=True)))
 
 
 def score(docs: DataFrame, model: Classifier, folds: int = 3, held_out: int = 1) -> DataFrame:
