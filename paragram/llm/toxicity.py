@@ -78,7 +78,7 @@ class Lexicon:
                 f |= 2
             if own in SECOND_PERSON:
                 f |= 4
-            if not own.isalpha() and len(word) < 60 and _MIXED.search(word):
+            if not word.isalpha() and _MIXED.search(word):
                 f |= 8
                 if plain(word) in self.words:
                     f |= 16
