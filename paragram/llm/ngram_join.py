@@ -86,7 +86,7 @@ def text_keys(w: Words) -> np.ndarray:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key (null without words), chars, bands; a written table."""
+    """doc_id, text_key (null without words), chars, bands, raw (a hash of the text as it is); a written table."""
 
     def run(batches):
         for batch in batches:
@@ -96,10 +96,10 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands = band_hashes(*shingles(w), w.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 keys = pa.array(text_keys(w), mask=w.counts() == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(np.diff(w.offsets)), lists], ["doc_id", "text_key", "chars", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(np.diff(w.offsets)), lists, batch.column(2).slice(a, b - a)], ["doc_id", "text_key", "chars", "bands", "raw"])
 
-    rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").where("id IS NOT NULL")
-    return storage.written_by(rows, run, "doc_id long, text_key long, chars long, bands array<long>", "signed")
+    rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text", f"xxhash64(CAST(`{text_col}` AS STRING)) AS raw").where("id IS NOT NULL")
+    return storage.written_by(rows, run, "doc_id long, text_key long, chars long, bands array<long>, raw long", "signed")
 
 
 def _linked(sizes: np.ndarray, row: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
@@ -156,8 +156,8 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"text_key": pa.array(keys[some]), "links": pa.array(links[some], pa.int64()), "root": pa.array(keys[root[some]])})
 
 
-def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (other documents at the threshold, copies included), n_copies (documents with the same words)."""
+def _classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The signed documents; and of every distinct text: text_key, root (of its class), class_id, n_links, copies."""
     docs = signed(df, id_col, text_col)
     texts = docs.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("chars").alias("chars"), F.any_value("bands").alias("bands"))
     texts = storage.written(texts, "texts")
@@ -188,8 +188,13 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = texts.select("text_key", "doc_id", "copies")
     classed = least.join(links, "text_key", "left").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    texts_out = classed.join(names, "root").select("text_key", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    texts_out = storage.written(texts_out, "classes")  # so that adaptive execution can split the documents of a very frequent text
+    texts_out = classed.join(names, "root").select("text_key", "root", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    return docs, storage.written(texts_out, "classes")  # so that adaptive execution can split the documents of a very frequent text
+
+
+def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links (other documents at the threshold, copies included), n_copies (documents with the same words)."""
+    docs, texts_out = _classes(df, id_col, text_col)
     out = docs.select("doc_id", "text_key").join(texts_out, "text_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(*[F.lit(v).cast("long").alias(k) for k, v in (("doc_id", None), ("class_id", None), ("n_links", 0), ("n_copies", 1))])
@@ -197,12 +202,17 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def representatives(df: DataFrame) -> DataFrame:
-    """The rows of one document (of the least doc_id) of each class, with all their columns.
+    """The rows of one text (of the least doc_id) of each class, with all their columns.
 
-    Rows that share an id and a text count as one.  Rows with a null doc_id stay.
+    A doc_id may stand for several texts; each is kept or not by its own class.  Rows that share an id and a text count as
+    one, and so does each text without words.  Rows with a null doc_id stay.
     """
-    first = joined(df).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = df.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id", "text"])
+    docs, texts = _classes(df)
+    own = F.struct("doc_id", "raw")
+    first = docs.where("text_key IS NOT NULL").join(texts.select("text_key", "root"), "text_key").groupBy("root").agg(F.min(own).alias("f")).select("f.*")
+    first = first.unionByName(docs.where("text_key IS NULL").select("doc_id", "raw")).distinct().select(F.col("doc_id").alias("_first"), F.col("raw").alias("_raw"))
+    same = (F.col("doc_id") == F.col("_first")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_raw"))
+    kept = df.join(first, same).drop("_first", "_raw").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(df.where("doc_id IS NULL"))
 
 
