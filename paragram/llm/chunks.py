@@ -1,4 +1,4 @@
-"""Values of distinct text chunks, computed once and kept between batches in a bounded cache."""
+"""Values of distinct text chunks, computed once and kept between the batches of a task in a bounded cache."""
 
 from __future__ import annotations
 
@@ -6,45 +6,63 @@ from collections.abc import Callable
 
 import numpy as np
 
-from paragram.llm.textbytes import expand, span_hashes, strings
+from paragram.llm.textbytes import expand, same_spans, span_hashes, strings, take
 
 
 class ChunkCache:
-    """Maps a chunk of text (by its 64-bit hash) to an array of values."""
+    """Maps a chunk of text to an array of values.
 
-    def __init__(self, kind: type, most: int, values_a_key: int = 8) -> None:
-        self.kind, self.most, self.most_values = kind, most, most * values_a_key
-        self._clear()
+    Chunks are found by a 64-bit hash, and the bytes of every hit are compared; a chunk whose hash belongs to another text
+    is computed by itself, each time.  Keys, texts and values take `most_bytes` at most (or what one batch needs).
+    """
 
-    def _clear(self) -> None:
+    def __init__(self, kind: type, most_bytes: int = 64 << 20) -> None:
+        self.kind, self.most_bytes = kind, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
-        self.at = np.empty(0, dtype=np.int32)
-        self.size = np.empty(0, dtype=np.int32)
+        self.at, self.size = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+        self.text_at, self.text_size = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+        self.texts = np.empty(0, dtype=np.uint8)
         self.values = np.empty(0, dtype=self.kind)
 
+    def _bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.text_at, self.text_size, self.texts, self.values))
+
     def rows(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks' values one after another, and the offset of each chunk's.  make: values and sizes of new chunks."""
         keys, first, back = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        if self._bytes() > self.most_bytes:
+            self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
         new = np.flatnonzero(~known)
-        if len(new) and len(self.keys) and (len(self.keys) + len(new) > self.most or len(self.values) > self.most_values):
-            self._clear()
-            new = np.arange(len(keys))
         if len(new):
             spans = first[new]
             values, size = make(strings(raw, start[spans], end[spans]))
-            places = len(self.values) + np.cumsum(size) - size
             merged = np.concatenate([self.keys, keys[new]])
             order = np.argsort(merged, kind="stable")
+            texts, bounds = take(raw, start[spans], end[spans])
+            join = lambda old, places, base: np.concatenate([old, (base + places).astype(np.int32)])[order]
+            self.at = join(self.at, np.cumsum(size) - size, len(self.values))
+            self.size = join(self.size, size, 0)
+            self.text_at = join(self.text_at, bounds[:-1], len(self.texts))
+            self.text_size = join(self.text_size, np.diff(bounds), 0)
             self.keys = merged[order]
-            self.at = np.concatenate([self.at, places.astype(np.int32)])[order]
-            self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
+            self.texts = np.concatenate([self.texts, texts])
             self.values = np.concatenate([self.values, values.astype(self.kind)])
             at = np.searchsorted(self.keys, keys)
-        size = self.size[at[back]].astype(np.int64)
+        entry = at[back]
+        text_at = self.text_at[entry].astype(np.int64)
+        other = np.flatnonzero(~same_spans(raw, start, end, self.texts, text_at, text_at + self.text_size[entry]))
+        place, size, values = self.at[entry].astype(np.int64), self.size[entry].astype(np.int64), self.values
+        if len(other):
+            more, sizes = make(strings(raw, start[other], end[other]))
+            place[other], size[other] = len(values) + np.cumsum(sizes) - sizes, sizes
+            values = np.concatenate([values, more.astype(self.kind)])
         total = np.zeros(len(start) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
-        return self.values[expand(self.at[at[back]].astype(np.int64), size)], total
+        return values[expand(place, size)], total

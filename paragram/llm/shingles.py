@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from paragram.llm.textbytes import Words, mix64, window_hashes, window_valid
+from paragram.llm.textbytes import Words, mix64, range_hashes, window_hashes, window_valid
 
 SIZE = 5
 
@@ -16,8 +16,7 @@ def shingles(w: Words, k: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     rows, found = row[at], window_hashes(hashes, k)[at]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        own = np.array([window_hashes(hashes[w.first[i] : w.first[i + 1]], int(n[i]))[0] for i in short], dtype=np.uint64)
-        own = mix64(own + n[short].astype(np.uint64))
+        own = range_hashes(hashes, w.first[short], w.first[short + 1])
         place = np.searchsorted(rows, short)
         rows, found = np.insert(rows, place, short), np.insert(found, place, own)
     return rows, found

@@ -3,25 +3,30 @@
 A batch of texts is one UTF-8 byte buffer plus row offsets.  Words are maximal
 runs of bytes other than 0x20 and 0x09-0x0D (the pattern ``[^\\x20\\x09-\\x0D]+``;
 those bytes never occur inside a multi-byte character, so byte and character
-scanning agree).  Hashing is a polynomial over the bytes modulo 2**64, computed
-for all words at once from prefix sums, then mixed; equal words have equal
-hashes in every task, because all constants are derived from fixed seeds.
+scanning agree).  A span is hashed eight bytes at a time: the state takes them
+in by exclusive or and goes through a bijective mixer, for all spans at once;
+spans of more than LONG bytes go through xxh3.  Sequences of words are chained
+in the same way over the words' hashes.  Another seed gives an independent
+hash.  Equal spans have equal hashes in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-#: An odd multiplier, hence invertible modulo 2**64, and its inverse.
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64)
+#: Seeds of two independent hashes.
+ONE, TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Bytes from which a span is hashed by xxh3.
+LONG = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -34,26 +39,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Growing tables of BASE**i and BASE**-i."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            for name, base in (("up", _BASE), ("down", _INV)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (int64, from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,22 +60,52 @@ def _row_edges(offsets: np.ndarray, n: int) -> np.ndarray:
     return edge[:n]
 
 
-#: Bytes that are hashed at a time; bounds the memory of the prefix sums.
-_BLOCK = 1 << 19
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number (unaligned views of one padded copy)."""
+    padded = np.zeros(len(raw) + 16, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 8,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _eights(lanes: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of each span, zeros behind its end."""
+    return lanes[start + 8 * k] & _MASK[np.minimum(size - 8 * k, 8)]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = ONE) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for every span."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _U(0x9FB21C651E98DF25) + _U(seed))
+    if not len(size):
+        return out
+    lanes, longest = _lanes(raw), int(size.max())
+    if longest > LONG:
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].data, seed & 0xFFFFFFFF)
+    for k in range(-(-min(longest, LONG) // 8)):
+        at = np.flatnonzero((size > 8 * k) & (size <= LONG))
+        out[at] = mix64(out[at] ^ _eights(lanes, start[at], size[at], k))
+    return out
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of raw[start:end] for every span; starts ascend."""
-    out = np.empty(len(start), dtype=np.uint64)
-    cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(raw) + 1, _BLOCK)), [0, len(start)]]))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        lo, hi = int(start[a]), int(end[a:b].max())
-        up, down = _POWERS.get(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw[lo:hi]] * up[: hi - lo], out=total[1:])
-        s = start[a:b] - lo
-        out[a:b] = (total[end[a:b] - lo] - total[s]) * down[s]
-    return mix64(out)
+def same_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether raw[start:end] equals other[at:to], byte by byte."""
+    size = end - start
+    same = size == to - at
+    if not len(size):
+        return same
+    one, two = _lanes(raw), _lanes(other)
+    left = np.flatnonzero(same & (size > 0))
+    k = 0
+    while len(left):
+        same[left] = _eights(one, start[left], size[left], k) == _eights(two, at[left], size[left], k)
+        k += 1
+        if k == 64:  # the few very long ones
+            for i in left.tolist():
+                same[i] = raw[start[i] : end[i]].tobytes() == other[at[i] : to[i]].tobytes()
+            break
+        left = left[same[left] & (size[left] > 8 * k)]
+    return same
 
 
 def slices(offsets: np.ndarray, most: int = 6 << 20) -> list[tuple[int, int]]:
@@ -123,8 +138,8 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.raw, self.start, self.end)
+    def hashes(self, seed: int = ONE) -> np.ndarray:
+        return span_hashes(self.raw, self.start, self.end, seed)
 
 
 def words(column: pa.Array | pa.ChunkedArray) -> Words:
@@ -147,15 +162,32 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(raw, offsets, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
 
+def _step(state: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The state with one more value taken in; a bijection of either for the other fixed."""
+    state = (state ^ value) * _U(0xD6E8FEB86659FD93)
+    state ^= state >> _U(32)
+    return state
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words (those that cross rows included; mask them with ``window_valid``)."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    up, down = _POWERS.get(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix64((total[k:] - total[:n]) * down[:n])
+    state = np.full(n, k, dtype=np.uint64)
+    for j in range(k):
+        state = _step(state, hashes[j : j + n])
+    return mix64(state)
+
+
+def range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words start:end for every range, in as many steps as the longest range has words; equal to window_hashes at one size."""
+    size = end - start
+    state = size.astype(np.uint64)
+    for j in range(int(size.max()) if len(size) else 0):
+        at = np.flatnonzero(size > j)
+        state[at] = _step(state[at], hashes[start[at] + j])
+    return mix64(state)
 
 
 def window_valid(first: np.ndarray, k: int) -> np.ndarray:
@@ -189,14 +221,7 @@ def expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(first - out, size)
 
 
-class RangeHash:
-    """Hashes of any ranges of a sequence of word hashes."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        up, self.down = _POWERS.get(len(hashes) + 1)
-        self.total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=self.total[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = (np.asarray(end) - np.asarray(start)).astype(np.uint64)
-        return mix64((self.total[end] - self.total[start]) * self.down[start] + size)
+def word_digests(w: Words) -> list[bytes]:
+    """The SHA-256 of each row's words, joined by one space."""
+    data, cuts = w.raw.tobytes(), w.offsets.tolist()
+    return [hashlib.sha256(b" ".join(data[x:y].split())).digest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
