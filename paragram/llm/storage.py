@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -24,41 +26,67 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="paragram-")
+        own = tempfile.mkdtemp(prefix="paragram-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
+#: Scratch folders of this process that were not removed yet, by session.
+_FOLDERS: dict[str, SparkSession] = {}
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and survives the loss of executors."""
-    return written_by(df, iter, df.schema, name)
 
-
-#: Rows in an Arrow batch; rows here are whole texts, of which the default of 10,000 would be tens of megabytes.
-BATCH_ROWS = 1_500
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; see ``clear``."""
+    folder = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _FOLDERS[folder] = spark
+    return folder
+
+
+def clear(*folders: str) -> None:
+    """Removes scratch folders; without names all that are left, also those that results still to be read depend on."""
+    for folder in folders or tuple(_FOLDERS):
+        spark = _FOLDERS.pop(folder)
+        with contextlib.suppress(Exception):  # the session may have ended, and somebody else may have removed it
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside are removed when these end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
-def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with batches of BATCH_ROWS rows at most (set for the session, as plans read it when they run)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of executors."""
+    folder = scratch(df.sparkSession, name)
+    with _freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def written_by(df: DataFrame, function, schema: str | StructType, name: str) -> DataFrame:
     """df.mapInArrow(function, schema) as a table in the shared folder, written by the Python workers themselves.
 
     What function yields goes from its worker to a file of its partition, without the way back through the JVM.  A task
-    writes under a hidden name and renames, so a repeated task replaces its file whole.
+    writes under a hidden name and renames, so a repeated task replaces its file whole.  Where pyarrow can't reach the
+    folder's file system, Spark writes the table.
     """
-    folder, kind = scratch(df.sparkSession, name), schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    arrow = to_arrow_schema(kind)
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    if not reachable(shared_root(df.sparkSession)):
+        return written(df.mapInArrow(function, kind), name)
+    folder, arrow = scratch(df.sparkSession, name), to_arrow_schema(kind)
 
     def run(batches):
         fs, base = filesystem(folder)
@@ -89,18 +117,32 @@ def written_by(df: DataFrame, function, schema: str | StructType, name: str) ->
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
     spark = df.sparkSession
-    mapped(df, run, "part long").write.format("noop").mode("overwrite").save()
+    with _freed(spark):
+        df.mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).parquet(folder)
 
 
+#: Hadoop's names of file systems, and pyarrow's.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def reachable(uri: str) -> bool:
+    """Whether ``filesystem`` knows the URI's scheme."""
+    scheme = uri.partition(":")[0]
+    return scheme in ("file", "dbfs") or scheme in _SCHEMES
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI, usable on executors (file, s3, gs, hdfs)."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    """The file system and path of a URI, usable on executors (file, dbfs by its mount, s3, s3a, s3n, gs, abfs, abfss, hdfs)."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def partitions(df: DataFrame) -> int:
@@ -108,15 +150,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that written() made and are no longer read, and lets Spark drop the shuffle files of finished steps."""
-    jvm = spark.sparkContext._jvm
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made here that are no longer read."""
     for table in tables:
         for file in table.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if str(folder.toString()).rstrip("/").startswith(shared_root(spark).rstrip("/").replace("file://", "file:")):
-                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    for _ in range(2):  # what the first round frees may hold more
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.7)
+            own = [f for f in _FOLDERS if f.rstrip("/").rpartition("/")[2] == file.rstrip("/").split("/")[-2]]
+            clear(*own[:1]) if own else None

@@ -22,8 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 _SEPARATOR = "<|endoftext|>"
-#: Entries that a worker keeps between batches.
-CACHE = 2_400_000
+#: Bytes of chunks and ids that a task keeps between batches.
+CACHE = 48 << 20
 
 
 def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -91,7 +91,10 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded_rows(column: pa.Array, path: str, end: int):
-    """For each slice of the column: its first row, ids with `end` after each row, and the id range of each row."""
+    """For each slice of the column: its first row, ids with `end` after each row, and the id range of each row.
+
+    Chunks are kept from call to call; a task drops them at its end by ``forget``.
+    """
     raw, offsets = buffers(column)
     tool = encoder(path)
     for a, b in slices(offsets):
@@ -106,5 +109,11 @@ def encoded_rows(column: pa.Array, path: str, end: int):
         yield a, out, bounds + rows
 
 
+def forget() -> None:
+    """Empties the caches, so that a reused worker holds no more than the tokenizers between tasks."""
+    for tool in _ENCODERS.values():
+        tool.cache.clear()
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
