@@ -10,8 +10,9 @@ block only.
 Keys: one byte 0 for a null id, or 1 and the id as a big-endian integer with
 its sign bit flipped, so that byte order is id order with nulls first.  Rows
 with the same id are entries of their own, next to each other (in order of a
-hash of the text).  Null and empty texts have the end id alone.  Other columns
-of the input are ignored.  An empty table gives no shard.
+hash of the text).  Null and empty texts have the end id alone.  A text longer
+than a block has a block of its own size.  Other columns of the input are
+ignored.  An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from paragram.llm import storage
 from paragram.llm.textbytes import mix64
-from paragram.llm.tokens import crc, encoded_rows
+from paragram.llm.tokens import crc, encoded_rows, forget
 
 _MAGIC = b"PGSST\x00\x01\n"
 #: index offset, bloom offset, bloom bits, documents, tokens, bytes an id, magic
@@ -140,6 +142,9 @@ class Shard:
             self.index.append((data[at : at + n], *_BLOCK_ROW.unpack_from(data, at + n)))
             at += n + _BLOCK_ROW.size
         self.type = np.dtype(f"<u{self.width}")
+        self._held, self._of_key = -1, {}  # the block that the last lookup decoded
+        file.seek(self.bloom_at)
+        self.bloom = file.read((self.bits + 7) // 8)
 
     def _block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, place, size, plain = self.index[i]
@@ -160,31 +165,33 @@ class Shard:
             yield from self._block(i)
 
     def may_hold(self, key: bytes) -> bool:
-        places = _probes([key], self.bits)[0]
-        for p in places.tolist():
-            self.file.seek(self.bloom_at + p // 8)
-            if not self.file.read(1)[0] >> (7 - p % 8) & 1:
-                return False
-        return True
+        return all(self.bloom[p // 8] >> (7 - p % 8) & 1 for p in _probes([key], self.bits)[0].tolist())
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
-        """The ids of every entry with this key (none: an empty list)."""
+    def entries(self, doc_id: int | None) -> Iterator[np.ndarray]:
+        """The ids of every entry with this key, in the shard's order; found by the filter and binary search."""
         key = key_of(doc_id)
         if not self.index or not self.may_hold(key):
-            return []
+            return
         lo, hi = 0, len(self.index)
         while lo < hi:  # the first block whose first key is not below the key
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if self.index[mid][0] < key else (lo, mid)
-        out = []
         for i in range(max(0, lo - 1), len(self.index)):
             if self.index[i][0] > key:
                 break
-            out += [v for k, v in self._block(i) if k == key]
-        return out
+            if self._held != i:
+                self._of_key, self._held = {}, i
+                for k, v in self._block(i):
+                    self._of_key.setdefault(k, []).append(v)
+            yield from self._of_key.get(key, ())
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every entry with this key (none: an empty list)."""
+        return list(self.entries(doc_id))
 
 
-_MANIFEST = "shard long, path string, documents long, tokens long"
+#: first_key and last_key bound the shard's keys.
+_MANIFEST = "shard long, path string, documents long, tokens long, first_key binary, last_key binary"
 
 
 def write_shards(df: DataFrame, directory: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> list:
@@ -213,15 +220,21 @@ def write_shards(df: DataFrame, directory: str, tokenizer: str, end: int, id_col
             writer.finish()
             out.close()
             fs.move(own, name)
-            yield pa.RecordBatch.from_pydict({"shard": [part], "path": [name], "documents": [writer.documents], "tokens": [writer.tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [part], "path": [name], "documents": [writer.documents], "tokens": [writer.tokens], "first_key": [writer.keys[0]], "last_key": [writer.keys[-1]]})
+        forget()
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
-    return sorted(ordered.select("id", "text").transform(storage.mapped, write, _MANIFEST).collect())
+    # The random last column splits rows with one id and text over several shards, where they are very many.
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.rand(1).alias("s"))
+    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h", "s").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
+    return sorted(ordered.select("id", "text").mapInArrow(write, _MANIFEST).collect())
 
 
 def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFrame:
-    """Per document, from the shards: doc_id, start, n_tokens, ids_crc32, shard.  In ascending order within a shard."""
+    """Per document, from the shards: doc_id, start, n_tokens, ids_crc32, shard, looked_up.  In ascending order within a shard.
+
+    looked_up: whether a lookup of the id (filter, binary search in the index, one block) gives the entries of the scan.
+    """
     todo, before = [], 0
     for r in manifest:
         todo.append((r["shard"], r["path"], before))
@@ -232,13 +245,42 @@ def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFram
         for batch in batches:
             for shard, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows: list[tuple] = []
+                found: list[bool] = []
                 with fs.open_input_file(path) as file:
-                    for key, ids in Shard(file).scan():
+                    table = Shard(file)
+                    for key, ids in table.scan():
                         rows.append((id_of(key), start, len(ids), crc(ids), shard))
                         start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                    for doc_id, own in groupby(rows, key=lambda r: r[0]):
+                        want = [(r[2], r[3]) for r in own]
+                        found += [want == [(len(ids), crc(ids)) for ids in table.entries(doc_id)]] * len(want)
+                columns = [*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "looked_up"])
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, looked_up boolean"
     if not todo:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).transform(storage.mapped, read, schema)
+    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).mapInArrow(read, schema)
+
+
+def lookup(spark: SparkSession, directory: str, manifest: list, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, ids of every entry of a list of ids; only shards whose key range holds one of them are opened, one task each."""
+    keys = sorted({(key_of(x), x) for x in doc_ids}, key=lambda k: k[0])
+    todo = []
+    for r in manifest:
+        own = [x for k, x in keys if bytes(r["first_key"]) <= k <= bytes(r["last_key"])]
+        if own:
+            todo.append((r["path"], own))
+
+    def read(batches):
+        fs, _ = storage.filesystem(directory)
+        for batch in batches:
+            for path, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(path) as file:
+                    table = Shard(file)
+                    rows = [(x, ids.tolist()) for x in own for ids in table.entries(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    if not todo:
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
+    return spark.createDataFrame(todo, "path string, own array<long>").repartition(len(todo)).mapInArrow(read, "doc_id long, ids array<int>")
