@@ -20,6 +20,7 @@ of equal codes.  A text without words has all codes zero.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint.  No shuffle."""
+    """doc_id, fingerprint.  No shuffle.  Null counts as empty; other columns are ignored."""
 
     def run(batches):
         for batch in batches:
@@ -124,20 +125,30 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 part = [t or "" for t in texts[a : a + 500]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(as_text(fingerprints(part)))], ["doc_id", "fingerprint"])
 
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, "doc_id long, fingerprint string")
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
 class _Ranges:
-    """Ranges of (id, hash of the text) by quantiles of the id; an id that fills several ranges is split by the hash."""
+    """Ranges of (known, id, hash of the text): a row is in range r if r cuts are not above it.
+
+    Everything is compared as integers.  known is 0 for a null id, whose id then is the least integer.
+    """
+
+    def __init__(self, cuts: list[tuple[int, int, int]]) -> None:
+        self.cuts = sorted(set(cuts))
+        self.ids = np.array([c[1] for c in self.cuts if c[0]], dtype=np.int64)
+        self.nulls = len(self.cuts) - len(self.ids)
+
+    def of(self, known: np.ndarray, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        out = self.nulls + low
+        for i in np.flatnonzero((known == 0) | (low < high)).tolist():  # nulls, and ids that a cut has
+            out[i] = bisect_right(self.cuts, (int(known[i]), int(ids[i]), int(h[i])))
+        return out
 
-    def __init__(self, cuts: list[float]) -> None:
-        self.cuts = np.array(sorted(cuts), dtype=np.float64)
 
-    def of(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-        x = ids.astype(np.float64)
-        low, high = np.searchsorted(self.cuts, x, side="left"), np.searchsorted(self.cuts, x, side="right")
-        place = (h.astype(np.float64) + 2.0**63) / 2.0**64
-        return np.where(high - low > 1, low + np.minimum((place * (high - low + 1)).astype(np.int64), high - low), high)
+#: Rows that are sampled for each cut between ranges.
+_FOR_EACH_CUT = 40
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
@@ -145,45 +156,51 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  Documents go in ascending
     order of doc_id (nulls first; of equal ids, by a hash of the text); the first follows the last.  Documents are dealt
-    out by ranges of the id, and the first of each range goes to the range before it too.  One document alone follows
-    itself; an empty table gives no row; null counts as empty.
+    out by ranges of the id, with cuts from a sample of the rows (they only balance the tasks), and the first of each range
+    goes to the range before it too.  One document alone follows itself; an empty table gives no row; null counts as empty;
+    rows that repeat an id and a text are rows of their own, all in one range; other columns are ignored.  A very long text
+    is handled whole.
     """
     spark, least = df.sparkSession, -(1 << 63)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(id_.isNotNull().cast("int").alias("known"), F.coalesce(id_, F.lit(least)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     parts = storage.partitions(df)
     ranges = 3 * parts
-    cuts = rows.stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    deal = _Ranges(cuts)
+    share = min(1.0, _FOR_EACH_CUT * ranges / max(1, df.count()))
+    drawn = rows.where(F.rand(11) < share).select("known", "id", "h").collect()  # about 40 rows a range
+    sample = sorted((x["known"], x["id"], x["h"]) for x in drawn)
+    deal = _Ranges([sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else [])
 
     def heads(batches):
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
-            ids, h = (np.asarray(batch.column(i)) for i in (0, 1))
+            known, ids, h = (np.asarray(batch.column(i)) for i in range(3))
             if not len(ids):
                 continue
-            r = deal.of(ids, h)
-            order = np.lexsort((h, ids, r))
+            r = deal.of(known, ids, h)
+            order = np.lexsort((h, ids, known, r))
             first = order[np.unique(r[order], return_index=True)[1]]
             for i in first.tolist():
-                own = (int(ids[i]), int(h[i]))
+                own = (int(known[i]), int(ids[i]), int(h[i]))
                 found[int(r[i])] = min(own, found.get(int(r[i]), own))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["r", "id", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], ["r", "known", "id", "h"])
 
     # A row for each range.
-    top = rows.select("id", "h").transform(storage.mapped, heads, "r long, id long, h long").groupBy("r").agg(F.min(F.struct("id", "h")).alias("head")).collect()
-    first = {x["r"]: (x["head"]["id"], x["head"]["h"]) for x in top}
+    top = rows.select("known", "id", "h").mapInArrow(heads, "r long, known int, id long, h long").groupBy("r").agg(F.min(F.struct("known", "id", "h")).alias("head")).collect()
+    first = {x["r"]: tuple(x["head"]) for x in top}
     filled = sorted(first)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}
+    names = ["r", "ahead", "known", "id", "text", "h"]
 
     def place(batches):
         for batch in batches:
-            ids, h = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            r = deal.of(ids, h)
-            again = [i for i, x in enumerate(zip(ids.tolist(), h.tolist(), strict=True)) if first.get(int(r[i])) == x]
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.zeros(len(r), dtype=bool)), *batch.columns], ["r", "ahead", "id", "text", "h"])
+            known, ids, h = (np.asarray(batch.column(k)) for k in (0, 1, 3))
+            r = deal.of(known, ids, h)
+            again = [i for i, x in enumerate(zip(known.tolist(), ids.tolist(), h.tolist(), strict=True)) if first.get(int(r[i])) == x]
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.zeros(len(r), dtype=bool)), *batch.columns], names)
             if again:
                 more = batch.take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([pa.array([before[int(r[i])] for i in again], pa.int64()), pa.array([True] * len(again)), *more.columns], ["r", "ahead", "id", "text", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([before[int(r[i])] for i in again], pa.int64()), pa.array([True] * len(again)), *more.columns], names)
 
     def finish(held: list[tuple]):
         """Rows of all but the last, each followed by the next."""
@@ -195,7 +212,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         codes = fingerprints(texts + edited)
         own, changed, n = codes[: len(texts)], codes[len(texts) :], len(edited)
         columns = [
-            pa.array([None if i == least else i for _, i, _ in held[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
+            pa.array([i for _, i, _ in held[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(as_text(own[:n])), pa.array(as_text(changed)),
             pa.array(likeness(own[:n], changed)), pa.array(likeness(own[:n], own[1:])),
         ]
@@ -205,14 +222,14 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         held: list[tuple] = []  # of one range: range, id, text
         chars, done = 0, False
         for batch in batches:
-            for r, ahead, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for r, ahead, known, i, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if held and held[-1][0] != r:  # the range before ended with its row from ahead
                     if len(held) > 1:
                         yield finish(held)
                     held, chars, done = [], 0, False
                 if done:
                     continue
-                held.append((r, i, text))
+                held.append((r, i if known else None, text))
                 done = ahead
                 chars += len(text)
                 if chars > slice_chars and len(held) > 1:
@@ -221,7 +238,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(held) > 1:
             yield finish(held)
 
-    placed = rows.select("id", "text", "h").transform(storage.mapped, place, "r long, ahead boolean, id long, text string, h long")
-    ordered = placed.repartition(parts, "r").sortWithinPartitions("r", "ahead", "id", "h").select("r", "ahead", "id", "text")
+    placed = rows.select("known", "id", "text", "h").mapInArrow(place, "r long, ahead boolean, known int, id long, text string, h long")
+    ordered = placed.repartition(parts, "r").sortWithinPartitions("r", "ahead", "known", "id", "h").select("r", "ahead", "known", "id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.transform(storage.mapped, run, schema) if filled else spark.createDataFrame([], schema)
+    return ordered.mapInArrow(run, schema) if filled else spark.createDataFrame([], schema)
