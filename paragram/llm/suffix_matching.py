@@ -8,8 +8,9 @@ one; sorted by position, they are relaxed: an edge whose piece may follow the
 last piece at its start (see pieces.py) settles its end.  Exactly one edge
 settles each position, so the path to a chunk's end is the model's encoding.
 
-Null and empty texts have no ids.  Repeated rows are encoded each; other
-columns are ignored; an empty table gives no row.
+Null and empty texts have no ids.  Whole texts are read, however long; a slice
+of a batch holds a few megabytes of text, or one longer text.  Repeated rows
+are encoded each; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _search(keys: list[np.ndarray], want: list[np.ndarray], right: bool) -> np.n
 class SuffixMatcher:
     def __init__(self, path: str) -> None:
         self.model = model = pieces.load(path)
-        self.cache = ChunkCache(np.int32, 1_200_000, 6)
+        self.cache = ChunkCache(np.int32)
         if len(model.alphabet) >= (1 << _BITS) - 1:
             raise ValueError("the model's alphabet is too large")
         self.codes = np.zeros(max(map(ord, model.alphabet)) + 2, dtype=np.uint64)
@@ -174,8 +175,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 ids, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
+        tool.cache.clear()
 
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, "doc_id long, ids array<int>")
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -187,7 +189,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             out = [tool.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return df.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"`{ids_col}` AS ids").transform(storage.mapped, run, "doc_id long, text string")
+    return df.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,6 +209,7 @@ def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                     rows.append((len(own), crc(own), hashlib.sha256(text).hexdigest(), text == data[cuts[a + i] : cuts[a + i + 1]]))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+        tool.cache.clear()
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, schema)
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, schema)
