@@ -3,29 +3,37 @@
 A window is WINDOW consecutive words of one document.  Every word covered by a
 window whose words also start anywhere else (same document included) goes.
 
-Graph.  Of the NODE-word k-mers in each window the one of least hash is a node;
-as the choice depends on the window's words alone, equal windows hold the same
-node at the same place.  The words from a node to the end of the next node of
-its document are an edge.  One aggregation by node finds the repeated nodes,
-and those of them that do not branch: all their occurrences have the same edge
-before and the same edge after.  A join gives every document the nodes of its
-own that are repeated.  Then, with the source text at hand,
+Graph.  Of the NODE-word k-mers in each window the one of least hash is a node
+(a sparse De Bruijn graph); as the choice depends on the window's words alone,
+equal windows hold the same node at the same place.  The words from a node to
+the end of the next node of its document are an edge.  One aggregation by node
+finds the repeated nodes, and those of them that do not branch: all their
+occurrences have the same edge before and the same edge after.
+
+Compaction.  Unbranching nodes that follow one another are one path.  Joins of
+the node table with itself, each over twice the distance of the one before,
+give every unbranching node how many words its path reaches to either side, as
+far as a window can need (so that cycles, and paths of any length, end after a
+fixed number of rounds).  A join gives every document its own repeated nodes
+with their paths.  Then, with the source text at hand,
 
 * a window whose node is not repeated occurs once;
-* a window that lies in an unbranching path around its node (edges compacted
-  across every unbranching node, up to the next node on either side) is
-  repeated, because every occurrence of its node spells the same path;
+* a window that lies in the compacted path around its node is repeated, because
+  every occurrence of its node spells the same path;
 * the few other windows, at branches and ends of paths, are verified by their
-  source coordinates: the 128-bit hash of the words there is counted over the
-  corpus and joined back.
+  source coordinates: the hash of the words there is counted over the corpus
+  and joined back.
 
-Documents of the same words are handled once: if they have a window, all of
-their words go.  Texts are told apart by a 128-bit hash of their words.
+Nodes and edges are told apart by 64 bits each (a false path needs both to
+meet), windows by 128 bits from two independent hashes of each word, texts by
+the first 128 bits of the SHA-256 of their words.  Documents of the same words
+are handled once: if they have a window, all of their words go.
 
 Null texts have no words.  Null and repeated ids get a row each; other columns
-are ignored; an empty table gives no row.  All aggregations combine before the
-shuffle, and joins are from many rows to one, which adaptive execution splits
-where a node, window or text is very frequent.
+are ignored; an empty table gives no row; a very long text is one row like any
+other.  All aggregations combine before the shuffle, and joins are from many
+rows to one, which adaptive execution splits where a node, window or text is
+very frequent.
 """
 
 from __future__ import annotations
@@ -36,18 +44,19 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paragram.llm import storage
-from paragram.llm.textbytes import RangeHash, Words, buffers, expand, mix64, slices, words_of
+from paragram.llm.textbytes import TWO, Words, buffers, expand, mix64, range_hashes, slices, window_hashes, word_digests, words_of
 
 WINDOW, NODE = 35, 8
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _LEAST = -(1 << 63)
 _NO_EDGE = np.uint64(0x5851F42D4C957F2D)
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _TIMES = np.uint64(0x9FB21C651E98DF25)
+#: Bits of a reach in a flag; a path counts up to a window and an edge to either side.
+_REACH_BITS = 7
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -59,48 +68,34 @@ class Graph:
 
     def __init__(self, w: Words) -> None:
         self.w, self.hashes = w, w.hashes()
-        self.ranges = RangeHash(self.hashes)
         total, none = len(self.hashes), np.empty(0, dtype=np.int64)
-        self.window, self.node_of, self.nodes = none, none, none
+        self.window, self.node_of, self.nodes, self.key = none, none, none, none.view(np.uint64)
         if total >= WINDOW:
             first = np.arange(total - WINDOW + 1)
             room = np.repeat(w.first[1:], w.counts())[: len(first)]
             self.window = first[first + WINDOW <= room]
         if len(self.window):
-            grams = np.arange(total - NODE + 1)
-            grams = self.ranges(grams, grams + NODE)
+            grams = window_hashes(self.hashes, NODE)
             views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - NODE + 1)
             at = np.concatenate([views[self.window[i : i + 50_000]].argmin(axis=1) for i in range(0, len(self.window), 50_000)]) + self.window
             self.nodes, self.node_of = np.unique(at, return_inverse=True)
             self.key = grams[self.nodes]
         self.row = np.searchsorted(w.first, self.nodes, side="right") - 1
 
-    def contexts(self) -> np.ndarray:
-        """A hash of the edges before and after each node."""
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each node: a hash of the edges before and after it, the next node (0 without), and the words to the next and from the last node (next + last << 16)."""
         n = len(self.nodes)
         before, after = np.full(n, _NO_EDGE), np.full(n, _NO_EDGE)
+        following, gaps = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int32)
         if n > 1:
             same = np.flatnonzero(self.row[1:] == self.row[:-1])
-            edge = self.ranges(self.nodes[same], self.nodes[same + 1] + NODE)
+            edge = range_hashes(self.hashes, self.nodes[same], self.nodes[same + 1] + NODE)
             after[same], before[same + 1] = edge, edge
-        return mix64(mix64(before * _TIMES) + after)
-
-    def paths(self, unbranching: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each node the words from and to which its compacted path reaches; an empty range for others."""
-        n = len(self.nodes)
-        low, high = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        if not n:
-            return low, high
-        new_row = np.ones(n + 1, dtype=bool)
-        new_row[1:-1] = self.row[1:] != self.row[:-1]
-        starts = unbranching & (new_row[:-1] | ~np.append(False, unbranching[:-1]))
-        ends = unbranching & (new_row[1:] | ~np.append(unbranching[1:], False))
-        a, b = np.flatnonzero(starts), np.flatnonzero(ends)
-        left = np.where(new_row[a], self.nodes[a], self.nodes[np.maximum(a - 1, 0)])
-        right = np.where(new_row[b + 1], self.nodes[b], self.nodes[np.minimum(b + 1, n - 1)]) + NODE
-        run = np.repeat(np.arange(len(a)), b - a + 1)
-        low[unbranching], high[unbranching] = left[run], right[run]
-        return low, high
+            following[same] = self.key[same + 1]
+            gap = (self.nodes[same + 1] - self.nodes[same]).astype(np.int32)
+            gaps[same] += gap
+            gaps[same + 1] += gap << 16
+        return mix64(mix64(before * _TIMES) + after), following, gaps
 
 
 def covered(total: int, windows: np.ndarray) -> np.ndarray:
@@ -111,10 +106,10 @@ def covered(total: int, windows: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def text_keys(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each row's words."""
-    one = RangeHash(hashes)(w.first[:-1], w.first[1:])
-    return _signed(one), _signed(RangeHash(mix64(hashes ^ _SECOND))(w.first[:-1], w.first[1:]))
+def text_keys(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of each digest."""
+    halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 4)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -126,19 +121,18 @@ def _scan(batches):
     for batch in batches:
         raw, offsets = buffers(batch.column(1))
         for a, b in slices(offsets, 1 << 20):
-            part = raw[offsets[a] : offsets[b]]
-            w = words_of(part, offsets[a : b + 1] - offsets[a])
+            w = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             g = Graph(w)
-            data, cuts = part.tobytes(), w.offsets.tolist()
-            whole = [hashlib.sha256(b" ".join(data[x:y].split())).digest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            whole = word_digests(w)
             bounds = np.searchsorted(g.nodes, w.first)
-            t, u = text_keys(w, g.hashes)
+            t, u = text_keys(whole)
+            context, following, gaps = g.edges()
             columns = [
                 batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(t), pa.array(u), pa.array(w.counts()), pa.array(whole),
-                _lists((g.nodes - w.first[g.row]).astype(np.int32), bounds, pa.int32()),
-                _lists(_signed(g.key) if len(g.nodes) else np.empty(0, dtype=np.int64), bounds, pa.int64()), _lists(_signed(g.contexts()), bounds, pa.int64()),
+                _lists((g.nodes - w.first[g.row]).astype(np.int32), bounds, pa.int32()), _lists(_signed(g.key), bounds, pa.int64()),
+                _lists(_signed(context), bounds, pa.int64()), _lists(_signed(following), bounds, pa.int64()), _lists(gaps, bounds, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "t", "u", "n_words", "whole", "pos", "node", "ctx"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "t", "u", "n_words", "whole", "pos", "node", "ctx", "next", "gaps"])
 
 
 def _cut(words: list[bytes], gone: np.ndarray) -> tuple[int, bytes, list[dict]]:
@@ -156,28 +150,30 @@ _PATH_SCHEMA = "t long, u long, n_removed long, kept binary, spans array<struct<
 
 
 def _follow(batches):
-    """Windows in compacted paths, and those to verify.  Columns in: t, u, text, flags (2 * place of a repeated node + 1 if it doesn't branch)."""
+    """Windows in compacted paths, and those to verify.  Columns in: t, u, text, flags (place of a repeated node, its path's reach to the left and right, whether it doesn't branch)."""
     for batch in batches:
         raw, offsets = buffers(batch.column(2))
         for a, b in slices(offsets, 1 << 20):
             part = raw[offsets[a] : offsets[b]]
             w = words_of(part, offsets[a : b + 1] - offsets[a])
             g = Graph(w)
-            t, u = text_keys(w, g.hashes)
+            t, u = text_keys(word_digests(w))
             t_in, u_in = (np.asarray(batch.column(k))[a:b] for k in (0, 1))
             flag_lists = batch.column(3).slice(a, b - a)
             flags = np.asarray(flag_lists.flatten())
-            place = (flags >> 1) + np.repeat(w.first[:-1], np.asarray(flag_lists.value_lengths().fill_null(0)))
-            state = np.zeros(len(g.hashes) + 1, dtype=np.int8)
+            place = (flags >> 2 * _REACH_BITS + 1) + np.repeat(w.first[:-1], np.asarray(flag_lists.value_lengths().fill_null(0)))
+            state, low, high = (np.zeros(len(g.hashes) + 1, dtype=np.int64) for _ in range(3))
+            inside = place < len(state)  # always, but where another text has the same id and hash
+            place, flags = place[inside], flags[inside]
+            most = (1 << _REACH_BITS) - 1
             state[place] = 1 + (flags & 1)
-            state = state[g.nodes]
-            low, high = g.paths(state == 2)
-            node = g.node_of
+            low[place], high[place] = place - (flags >> _REACH_BITS + 1 & most), place + (flags >> 1 & most) + NODE
+            node = g.nodes[g.node_of] if len(g.nodes) else g.nodes
             sure = (state[node] == 2) & (g.window >= low[node]) & (g.window + WINDOW <= high[node])
             open_ = (state[node] > 0) & ~sure
             sure_at, open_at = g.window[sure], g.window[open_]
-            h1 = _signed(g.ranges(open_at, open_at + WINDOW))
-            h2 = _signed(RangeHash(mix64(g.hashes ^ _SECOND))(open_at, open_at + WINDOW))
+            h1 = _signed(range_hashes(g.hashes, open_at, open_at + WINDOW))
+            h2 = _signed(range_hashes(w.hashes(TWO), open_at, open_at + WINDOW))
             sure_cut, open_cut = np.searchsorted(sure_at, w.first), np.searchsorted(open_at, w.first)
             gone = covered(len(g.hashes), sure_at)
             data, cuts = part.tobytes(), w.offsets.tolist()
@@ -214,49 +210,88 @@ def _finish(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "u", "n_removed", "kept", "spans"])
 
 
+def compacted(repeated: DataFrame) -> DataFrame:
+    """node, unbranching, left, right: the words that each node's path reaches before and after it (0 where it branches).
+
+    repeated: node, unbranching, next, gap_next, gap_last.  Pointer jumping: in each round a node's reach grows by that of
+    the node that it points to, and it points on from there, until the path ends or is as long as a window.
+    """
+    most = WINDOW
+    solid = repeated.where("unbranching = 1")
+    before = solid.where("gap_next > 0").select(F.col("next").alias("node"), F.col("node").alias("last"))
+    # An unbranching node has one node before it; a branching one isn't asked.
+    paths = solid.join(before, "node", "left").select(
+        "node", F.col("gap_next").alias("right"), F.when(F.col("gap_next") > 0, F.col("next")).alias("to"),
+        F.col("gap_last").alias("left"), F.when(F.col("gap_last") > 0, F.col("last")).alias("back"),
+    )
+    paths = storage.written(paths, "paths")
+    for _ in range((most - 1).bit_length()):  # an edge has a word at least
+        if paths.where("to IS NOT NULL OR back IS NOT NULL").isEmpty():
+            break
+        ahead = paths.select(F.col("node").alias("to"), F.col("right").alias("right2"), F.col("to").alias("to2"))
+        behind = paths.select(F.col("node").alias("back"), F.col("left").alias("left2"), F.col("back").alias("back2"))
+        on = paths.join(ahead, "to", "left").join(behind, "back", "left")
+        right, left = (F.col(c) + F.coalesce(f"{c}2", F.lit(0)) for c in ("right", "left"))
+        grown = on.select(
+            "node", F.least(right, F.lit(2 * most)).alias("right"), F.when(right < most, F.col("to2")).alias("to"),
+            F.least(left, F.lit(2 * most)).alias("left"), F.when(left < most, F.col("back2")).alias("back"),
+        )
+        longer = storage.written(grown, "paths")
+        storage.release(paths)
+        paths = longer
+    out = repeated.select("node", "unbranching").join(paths.select("node", "left", "right"), "node", "left")
+    return out.select("node", "unbranching", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"))
+
+
+def _flag() -> Column:
+    """A repeated node in its text, as one number."""
+    by = 1 << _REACH_BITS
+    return ((F.col("pos").cast("long") * by + F.col("left")) * by + F.col("right")) * 2 + F.col("unbranching")
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, text_hash (xxhash64 of its text), n_words, n_removed, spans (removed word ranges), kept_sha256."""
-    spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"))
-    schema = "doc_id long, x long, t long, u long, n_words long, whole binary, pos array<int>, node array<long>, ctx array<long>"
+    schema = "doc_id long, x long, t long, u long, n_words long, whole binary, pos array<int>, node array<long>, ctx array<long>, next array<long>, gaps array<int>"
     scanned = storage.written_by(docs, _scan, schema, "scanned")
 
     # Nodes: repeated (at two places or more; copies of a text are one place), and unbranching.
-    nodes = scanned.select("t", F.inline(F.arrays_zip("pos", "node", "ctx")))
-    ends = [f(c).alias(f"{c}{i}") for c in ("t", "pos", "ctx") for i, f in enumerate((F.min, F.max))]
-    twice = nodes.groupBy("node").agg(*ends).where("t0 <> t1 OR pos0 <> pos1")
-    repeated = twice.select("node", (F.col("ctx0") == F.col("ctx1")).cast("int").alias("unbranching"))
-    # Written, so that the joins with it are between two shuffles, of which adaptive execution splits hot keys.
+    nodes = scanned.select("t", F.inline(F.arrays_zip("pos", "node", "ctx", "next", "gaps"))).withColumn("place", F.xxhash64("t", "pos"))
+    ends = [f(c).alias(f"{c}{i}") for c in ("place", "ctx") for i, f in enumerate((F.min, F.max))]
+    twice = nodes.groupBy("node").agg(*ends, F.min("next").alias("next"), F.min("gaps").alias("gaps")).where("place0 <> place1")
+    gap = F.col("gaps")
+    repeated = twice.select("node", (F.col("ctx0") == F.col("ctx1")).cast("int").alias("unbranching"), "next", gap.bitwiseAND(0xFFFF).alias("gap_next"), F.shiftright(gap, 16).alias("gap_last"))
     repeated = storage.written(repeated, "repeated")
+    # Written, so that the joins with it are between two shuffles, of which adaptive execution splits hot keys.
+    paths = storage.written(compacted(repeated), "compacted")
+    storage.release(repeated)
 
     # Each text's own repeated nodes (at most one for each word), with one row of it to read the text from.
-    own = scanned.select("t", "u", F.inline(F.arrays_zip("pos", "node"))).join(repeated, "node")
-    own = own.groupBy("t", "u").agg(F.collect_set(2 * F.col("pos") + F.col("unbranching")).alias("flags"))
+    own = scanned.select("t", "u", F.inline(F.arrays_zip("pos", "node"))).join(paths, "node")
+    own = own.groupBy("t", "u").agg(F.collect_set(_flag()).alias("flags"))
     key = F.struct(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), "x")
     texts = scanned.groupBy("t", "u").agg(F.count("*").alias("copies"), F.min(key).alias("k")).select("t", "u", "copies", "k.id", "k.x")
-    flagged = own.join(texts, ["t", "u"]).select("id", "x", "t", "u", "flags")
-    flagged = storage.written(flagged, "flags")
-    storage.release(spark)
+    flagged = storage.written(own.join(texts, ["t", "u"]).select("id", "x", "t", "u", "flags"), "flags")
+    storage.release(paths)
 
     # Paths, with the text at hand.
     source = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), "x", "text")
-    paths = source.join(flagged, ["id", "x"]).select("t", "u", "text", "flags")
-    paths = storage.written_by(paths, _follow, _PATH_SCHEMA, "paths")
-    storage.release(spark, flagged)
+    followed = source.join(flagged, ["id", "x"]).select("t", "u", "text", "flags")
+    followed = storage.written_by(followed, _follow, _PATH_SCHEMA, "followed")
+    storage.release(flagged)
 
     # The windows left, by their source coordinates (text and place).
-    left = paths.where("text IS NOT NULL").select("t", F.inline("open"))
-    spots = [f(c).alias(f"{c}{i}") for c in ("t", "p") for i, f in enumerate((F.min, F.max))]
-    again = left.groupBy("h1", "h2").agg(*spots).where("t0 <> t1 OR p0 <> p1").select("h1", "h2")
-    again = storage.written(again, "again")
+    left = followed.where("text IS NOT NULL").select("t", F.inline("open"))
+    spots = left.withColumn("place", F.xxhash64("t", "p")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    again = storage.written(spots.where("first <> last").select("h1", "h2"), "again")
     hits = left.join(again, ["h1", "h2"]).groupBy("t").agg(F.collect_set("p").alias("hits"))
-    late = paths.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, "t", "left").select("t", "u", "text", "sure", "hits")
-    late = late.transform(storage.mapped, _finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
-    early = paths.where("text IS NULL").select("t", "u", "n_removed", "kept", "spans")
+    late = followed.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, "t", "left").select("t", "u", "text", "sure", "hits")
+    late = late.mapInArrow(_finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
+    early = followed.where("text IS NULL").select("t", "u", "n_removed", "kept", "spans")
     results = early.unionByName(late).dropDuplicates(["t", "u"])
     results = storage.written(texts.select("t", "u", "copies").join(results, ["t", "u"], "left"), "removed")
-    storage.release(spark, paths, again)
+    storage.release(followed, again)
 
     out = scanned.select("doc_id", "x", "t", "u", "n_words", "whole").join(results, ["t", "u"])
     copied = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
@@ -270,18 +305,24 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def cleaned(df: DataFrame) -> DataFrame:
-    """All rows and columns, with removed words taken out of text (the others joined by one space where any goes) and n_chars to match."""
-    found = deduplicated(df).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_x"), F.col("spans").alias("_spans"))
-    marked = df.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """All rows and columns, with removed words taken out of text (the others joined by one space where any goes) and n_chars to match.
+
+    Null texts stay null; an emptied text is empty.  Columns may have any names; rows that are repeated stay repeated.
+    """
+    found = deduplicated(df).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("x"), "spans")
     # Equal rows have equal spans; one of them is enough.
-    rows = marked.join(found.dropDuplicates(["_id", "_x"]), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_x")), "left").drop("_id", "_x", "_h")
-    at, names = rows.columns.index("text"), df.columns
+    found = found.dropDuplicates(["id", "x"])
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    rows = marked.join(found, F.col("own").eqNullSafe(F.col("id")) & (F.col("h") == F.col("x")), "left").select("row", "spans")
+    names, kind = df.columns, df.schema
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            row = batch.column(0)
+            columns, spans = row.flatten(), batch.column(1)
             out = []
-            for text, cuts in zip(texts, spans, strict=True):
+            for text, cuts in zip(columns[at].to_pylist(), spans.to_pylist(), strict=True):
                 if cuts:
                     words = text.encode().split()
                     keep = np.ones(len(words), dtype=bool)
@@ -289,15 +330,14 @@ def cleaned(df: DataFrame) -> DataFrame:
                         keep[c["start"] : c["end"]] = False
                     text = b" ".join(compress(words, keep)).decode()
                 out.append(text)
-            columns = [c for i, c in enumerate(batch.columns) if i < len(names)]
             columns[at] = pa.array(out, columns[at].type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 size = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(columns[k].type)
-                columns[k] = pc.if_else(pc.is_null(batch.column(len(names))), columns[k], size)
+                columns[k] = pc.if_else(pc.is_null(spans), columns[k], size)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.transform(storage.mapped, run, df.schema)
+    return rows.mapInArrow(run, kind)
 
 
 #: The same for DuckDB.
