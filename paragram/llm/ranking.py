@@ -9,8 +9,9 @@ training scores at the share of quality 0, and lies at 0.3 of the final scale:
 score = logistic(slope * (s - threshold) + logit(0.3)).
 
 Null and empty texts are scored by zero features.  Where the sample lacks one
-of the labels, every score is 0.5.  Other columns are ignored; repeated rows
-are scored each; an empty table gives no row.
+of the labels, every score is 0.5.  Whole texts are read, however long.  Other
+columns are ignored; repeated rows are scored each; an empty table gives no
+row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragram.llm import storage
 from paragram.llm.features import quality_matrix
 from paragram.llm.labelled import SAMPLE_ROWS, fold, training_rows
 from paragram.llm.textbytes import buffers, slices
@@ -61,15 +61,18 @@ def fit(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, rounds: int = 30)
         return model
     draw = np.random.default_rng(7)
     few = min(len(good), len(bad))
-    n = min(PAIRS * few, 120_000)
+    n = PAIRS * few
     i = np.concatenate([np.arange(len(good)), draw.integers(0, len(good), n)])
     j = np.concatenate([draw.integers(0, len(bad), len(good)), np.resize(np.arange(len(bad)), n)])
-    d = (model.design(good)[i] - model.design(bad)[j]).astype(np.float32)
-    w = np.zeros(d.shape[1])
+    up, down = (model.design(part).astype(np.float32) for part in (good, bad))
+    w = np.zeros(up.shape[1])
     for _ in range(rounds):  # Newton's method
-        p = _logistic(-(d @ w))
-        gradient = d.T @ p - ridge * len(d) * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d + ridge * len(d) * np.eye(len(w))
+        gradient, hessian = -ridge * len(i) * w, ridge * len(i) * np.eye(len(w))
+        for a in range(0, len(i), 20_000):
+            d = up[i[a : a + 20_000]] - down[j[a : a + 20_000]]
+            p = _logistic(-(d @ w))
+            gradient += d.T @ p
+            hessian += (d * (p * (1 - p))[:, None].astype(np.float32)).T @ d
         step = np.linalg.solve(hessian, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -100,7 +103,7 @@ def matrix_of(rows: DataFrame, extract) -> tuple[np.ndarray, np.ndarray, np.ndar
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(a, b - a) for k in (1, 2, 3))], ["x", "label", "part", "h"])
 
-    got = rows.select("text", "label", "part", "h").transform(storage.mapped, run, "x array<double>, label int, part int, h long").toArrow().sort_by("h")
+    got = rows.select("text", "label", "part", "h").mapInArrow(run, "x array<double>, label int, part int, h long").toArrow().sort_by("h")
     if got.num_rows == 0:
         width = len(extract(np.frombuffer(b"a", dtype=np.uint8), np.array([0, 1]))[0])
         return np.zeros((0, width)), np.zeros(0), np.zeros(0)
@@ -113,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return fit(x, y)
 
 
-def scored(docs: DataFrame, extract, score, folds: int, held_out: int, cut: float) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; extract and score: of a batch, on the executors."""
+def scored(docs: DataFrame, extract, score, folds: int, held_out: int, cut: float, end=lambda: None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; extract and score: of a batch, on the executors; end: called after a task's last batch."""
 
     def run(batches):
         for batch in batches:
@@ -122,8 +125,9 @@ def scored(docs: DataFrame, extract, score, folds: int, held_out: int, cut: floa
             for a, b in slices(offsets):
                 s = score(extract(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s, pa.float64())], ["doc_id", "score"])
+        end()
 
-    out = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").transform(storage.mapped, run, "doc_id long, score double")
+    out = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(fold("doc_id", folds) == held_out, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 

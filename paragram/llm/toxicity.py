@@ -6,14 +6,15 @@ of toxic texts, the share of lexicon words near a second person, capitals,
 punctuation and obfuscated words.  The lexicon is a short fixed list joined by
 words and word beginnings that are significantly more frequent in toxic
 training documents (document counts, made on the executors, with groups of
-copies counted once; LEXICON_MOST entries at most).  Trees fit the logistic loss on histograms of the features,
+copies counted once; bounded by the sample).  Trees fit the logistic loss on histograms of the features,
 which for training come from lexicons of the other folds; at every size alike.
 Scores are calibrated by isotonic regression on out-of-fold predictions.
 
 Learns from a bounded sample (labelled.SAMPLE_ROWS).  Null and empty texts
 are scored by zero features.  Where the sample lacks one of the labels, every
-score is the share of toxic rows.  Other columns are ignored; repeated rows
-are scored each; an empty table gives no row.
+score is the share of toxic rows.  Whole texts and words of any length are
+read.  Other columns are ignored; repeated rows are scored each; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from paragram.llm.ranking import matrix_of, scored
 from paragram.llm.textbytes import buffers, slices, words_of
 
 CUT = 0.7
-LEXICON_MOST = 3_000
 NEAR = 5
 #: Parts of the sample for cross-fitting and calibration.
 FOLDS = 4
@@ -67,6 +67,10 @@ class Lexicon:
     def __getstate__(self):
         return {"words": self.words, "beginnings": self.beginnings, "_cache": None}
 
+    def forget(self) -> None:
+        """Drops the cache, at the end of a task."""
+        self._cache = None
+
     def flags(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word: 1 in the lexicon, 2 begins like it, 4 second person, 8 obfuscated, 16 in the lexicon behind obfuscation."""
         out = np.zeros(len(chunks), dtype=np.int8)
@@ -88,7 +92,7 @@ class Lexicon:
     def matrix(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row of FEATURES for each text; all zero for a text without words."""
         if self._cache is None:
-            self._cache = ChunkCache(np.int8, 2_000_000)
+            self._cache = ChunkCache(np.int8)
         rows, w, sums = len(offsets) - 1, words_of(raw, offsets), Sums(offsets)
         n, row = w.counts(), w.row_of()
         flags = self._cache.rows(w.raw, w.start, w.end, self.flags)[0] if len(w.start) else np.empty(0, dtype=np.int8)
@@ -116,7 +120,7 @@ class Lexicon:
 FEATURES = ("lexicon", "beginnings", "log_lexicon", "log_beginnings", "hidden_lexicon", "near_second_person", "second_person", "capitals", "punctuation", "exclamations", "obfuscated", "log_words")
 
 
-def learn_lexicons(rows: DataFrame, folds: int, most: int = LEXICON_MOST) -> list[Lexicon]:
+def learn_lexicons(rows: DataFrame, folds: int) -> list[Lexicon]:
     """Words and beginnings with significantly more toxic documents than their share: of the rows outside each fold (part % folds), then of all."""
 
     def count(batches):
@@ -128,7 +132,7 @@ def learn_lexicons(rows: DataFrame, folds: int, most: int = LEXICON_MOST) -> lis
         for batch in batches:
             for text, label, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = {bare(x) for x in set(re.findall(r"[^\x20\x09-\x0D]+", text or ""))} - {""}
-                terms = {"w" + x for x in own if len(x) < 40} | {f"b{x[:n]}" for x in own for n in _PREFIXES if len(x) > n}
+                terms = {"w" + x for x in own} | {f"b{x[:n]}" for x in own for n in _PREFIXES if len(x) > n}
                 for t in terms | {""}:
                     seen.setdefault((t, part % folds), [0, 0])[label != 1] += 1
                 if len(seen) > 200_000:
@@ -137,7 +141,7 @@ def learn_lexicons(rows: DataFrame, folds: int, most: int = LEXICON_MOST) -> lis
         if seen:
             yield counts()
 
-    counted = rows.select("text", "label", "part").transform(storage.mapped, count, "term string, fold int, toxic long, clean long")
+    counted = rows.select("text", "label", "part").mapInArrow(count, "term string, fold int, toxic long, clean long")
     outside = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(folds) for c in ("toxic", "clean")]
     counted = counted.groupBy("term").agg(*outside, F.sum("toxic").alias(f"toxic_{folds}"), F.sum("clean").alias(f"clean_{folds}"))
     counted = storage.written(counted.where(f"term = '' OR toxic_{folds} >= 3"), "terms")
@@ -153,7 +157,7 @@ def learn_lexicons(rows: DataFrame, folds: int, most: int = LEXICON_MOST) -> lis
         odds = F.log(share_t / share_c)
         error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         found = counts.where("term <> '' AND toxic >= 3").withColumn("z", odds / error).where((odds > 1.2) & (F.col("z") > 2.3))
-        best = [r["term"] for r in found.orderBy(F.desc("z"), "term").limit(most).collect()]
+        best = [r["term"] for r in found.collect()]  # of the sample's terms, so bounded with it
         out.append(Lexicon(frozenset(INSULTS) | {t[1:] for t in best if t[0] == "w"}, frozenset(t[1:] for t in best if t[0] == "b")))
     return out
 
@@ -274,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def score(docs: DataFrame, model: Classifier, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    return scored(docs, model.lexicon.matrix, model.score, folds, held_out, CUT)
+    return scored(docs, model.lexicon.matrix, model.score, folds, held_out, CUT, model.lexicon.forget)
 
 
 def accepted(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
@@ -287,5 +291,6 @@ def accepted(docs: DataFrame, model: Classifier, text_col: str = "text") -> Data
             for a, b in slices(offsets):
                 s = model.score(model.lexicon.matrix(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 yield batch.slice(a, b - a).filter(pa.array(s < CUT))
+        model.lexicon.forget()
 
-    return docs.transform(storage.mapped, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
