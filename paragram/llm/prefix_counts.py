@@ -4,13 +4,16 @@ The encoding of each prefix has exactly one last piece (see pieces.py), so a
 table over prefix lengths holds it: the piece that ends there and whose start
 is a prefix whose own last piece it may follow.  The count at a prefix is the
 count at that start plus one (plus the bytes, for a character outside the
-model).  The table answers ``count_at`` (how many tokens has the text cut
-here?) and ``longest_within`` (how far may the text go under a budget?)
-without encoding again.  Distinct chunks are computed once; chunks in sorted
-order share the table of their common start.
-
-Null counts as empty: no tokens.  Whole texts are read.  Repeated rows are
-counted each; other columns are ignored; an empty table gives no row.
+model).  ``stored_tables`` writes the table of every document, as differences
+from prefix to prefix (a byte each), to the shared folder.  From what is stored
+``count_at`` (how many tokens has the text cut here?), ``longest_within`` (how
+far may the text go under a budget?) and ``prefix_counts`` answer without
+encoding again.  Distinct chunks are computed once; chunks in sorted order
+share the table of their common start.
+
+Null counts as empty: no tokens.  Whole texts are read, however long; a slice
+of a batch holds a few megabytes of text, or one longer text.  Repeated rows
+are counted each; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paragram.llm import pieces, storage
 from paragram.llm.chunks import ChunkCache
@@ -27,7 +31,7 @@ from paragram.llm.textbytes import buffers, slices
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         self.model = pieces.load(path)
-        self.cache = ChunkCache(np.int32, 1_200_000, 10)
+        self.cache = ChunkCache(np.int32)
 
     def tables(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each chunk the counts after 1, 2, ... characters, one chunk after another; and their sizes."""
@@ -96,18 +100,31 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def count_at(table: bytes, chars: int) -> int:
-    """Tokens of the first `chars` characters."""
-    return int(np.frombuffer(table, dtype="<i4")[chars])
+def packed(table: np.ndarray) -> bytes:
+    """Counts after 0, 1, 2, ... characters as stored: a byte for the width (1 or 4), then the differences, little-endian."""
+    steps = np.diff(table.astype(np.int64))
+    width = 1 if len(steps) == 0 or (steps.min() >= -128 and steps.max() <= 127) else 4
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Counts after 0, 1, 2, ... characters."""
+    steps = np.frombuffer(data, dtype=f"<i{data[0]}", offset=1)
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
 
-def longest_within(table: bytes, budget: int) -> int:
-    """The most characters from the start that have `budget` tokens at most."""
-    return int(np.flatnonzero(np.frombuffer(table, dtype="<i4") <= budget)[-1])
+def count_at(data: bytes, chars: int) -> int:
+    """Tokens of the first `chars` characters, from a stored table."""
+    return int(np.frombuffer(data, dtype=f"<i{data[0]}", offset=1, count=chars).sum(dtype=np.int64)) if chars else 0
 
 
-def prefix_counts(df: DataFrame, model: str, budget: int = 4096, with_table: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fits_chars (the longest prefix within the budget), table (little-endian int32, from the empty prefix on)."""
+def longest_within(data: bytes, budget: int) -> int:
+    """The most characters from the start that have `budget` tokens at most, from a stored table."""
+    return int(np.flatnonzero(unpacked(data) <= budget)[-1])
+
+
+def stored_tables(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, table (see ``packed``) of every row, written to the shared folder."""
 
     def run(batches):
         tool = counter(model)
@@ -115,14 +132,24 @@ def prefix_counts(df: DataFrame, model: str, budget: int = 4096, with_table: boo
             raw, offsets = buffers(batch.column(1))
             for a, b in slices(offsets, 3 << 20):
                 table, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = table[at[1:] - 1]
-                fits = [int(np.flatnonzero(table[x:y] <= budget)[-1]) if c > budget else int(y - x - 1) for x, y, c in zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), strict=True)]
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(n), pa.array(n > budget), pa.array(fits, pa.int64())]
-                names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"]
-                if with_table:
-                    columns.append(pa.array([table[x:y].astype("<i4").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()))
-                    names.append("table")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").transform(storage.mapped, run, schema + ", table binary" * with_table)
+                tables = [packed(table[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "table"])
+        tool.cache.clear()
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return storage.written_by(rows, run, "doc_id long, n_bytes long, table binary", "prefixes")
+
+
+def prefix_counts(tables: DataFrame, budget: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fits_chars (the longest prefix within the budget), from stored tables alone."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for data in batch.column(2).to_pylist():
+                counts = unpacked(data)
+                found.append((int(counts[-1]), bool(counts[-1] > budget), int(np.flatnonzero(counts <= budget)[-1])))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or ((), (), ()), (pa.int64(), pa.bool_(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
+
+    return tables.select("doc_id", "n_bytes", "table").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
