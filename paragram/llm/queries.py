@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 END_ID = 2
 
@@ -72,7 +73,7 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import prefix_counts
 
-    return prefix_counts.prefix_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), 4096, with_table=False)
+    return prefix_counts.prefix_counts(prefix_counts.stored_tables(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")), 4096)
 
 
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,13 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(rules.ledger(documents(spark, sf_dir))).select(*rules.DIGEST)
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every rule of the standard policy: how many documents fail it, and fail it alone, from the ledger's bits."""
+    from paragram.llm import rules
+
+    return rules.ablation(rules.ledger(documents(spark, sf_dir)), rules.STANDARD).withColumn("bit", F.col("bit").cast("long"))
+
+
 def op9_minhash_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import ngram_join
 
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bradley_terry_quality": op6_bradley_terry_quality,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op8_rule_ledger": op8_rule_ledger,
+    "rule_ablation": rule_ablation,
     "op9_minhash_ngram_join": op9_minhash_ngram_join,
     "op10_boosted_toxicity": op10_boosted_toxicity,
 }
@@ -103,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _sql() -> dict[str, str]:
     from paragram.llm import debruijn, ngram_join, rules
 
-    return {"op5_debruijn_substring_dedup": debruijn.SQL, "op8_rule_ledger": rules.SQL, "op9_minhash_ngram_join": ngram_join.SQL}
+    return {"op5_debruijn_substring_dedup": debruijn.SQL, "op8_rule_ledger": rules.SQL, "rule_ablation": rules.ABLATION_SQL, "op9_minhash_ngram_join": ngram_join.SQL}
 
 
 SQL: dict[str, str] = _sql()

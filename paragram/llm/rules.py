@@ -7,8 +7,8 @@ arithmetic on the ledger and never touches the text again.
 
 Null texts count as empty: no words, so ``few_words`` fails.  A null doc_id
 stays null; repeated rows are judged each; other columns of the input are
-ignored; an empty table gives an empty ledger.  Five-word windows are compared
-by a 64-bit hash within one document.
+ignored; an empty table gives an empty ledger.  Whole texts are read, however
+long.  Five-word windows are compared by a 64-bit hash within one document.
 """
 
 from __future__ import annotations
@@ -79,9 +79,11 @@ def _repeated(hashes: Column) -> Column:
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the measurements (long), failure_bits (long); `keep`: further columns to carry."""
+    """doc_id, the measurements (long), failure_bits (long); `keep`: further columns to carry (as input_<name> where the ledger has that name)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep if c != id_col], text.alias("_text"))
+    own = {"doc_id", "failure_bits", "_text", "_words", "_lines", "_windows", *MEASURES}
+    kept = [f"input_{c}" if c in own else c for c in keep if c != id_col]
+    rows = df.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(k) for c, k in zip([c for c in keep if c != id_col], kept, strict=True)], text.alias("_text"))
     rows = rows.withColumn("_words", F.filter(F.split("_text", _SPACE), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     n, words = F.size("_words"), F.col("_words")
@@ -101,11 +103,11 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         "n_exclamations": _without(body, "!"),
         "n_stutters": F.size(F.filter(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False)))),
     }
-    measured = rows.select("doc_id", *[c for c in keep if c != id_col], *[m.cast("long").alias(k) for k, m in measures.items()])
+    # A generator of one row: the optimizer doesn't copy expressions across it, so each measurement is made once, whatever
+    # conditions on the ledger follow.
+    measured = rows.select("doc_id", *kept, F.inline(F.array(F.struct(*[m.cast("long").alias(k) for k, m in measures.items()]))))
     bits = sum((F.when(F.expr(r.failed), F.lit(BIT[r.name])).otherwise(0) for r in RULES), F.lit(0))
-    # The condition is always true; being non-deterministic, it keeps the optimizer from copying the measurements' expressions
-    # into filters on the ledger, where each rule would evaluate them again.
-    return measured.withColumn("failure_bits", F.when(F.monotonically_increasing_id() >= 0, bits).cast("long"))
+    return measured.withColumn("failure_bits", bits.cast("long"))
 
 
 def failed(policy: str, bits: str = "failure_bits") -> Column:
@@ -126,7 +128,7 @@ def ablation(book: DataFrame, policy: str, by: tuple[str, ...] = ()) -> DataFram
     return wide.select(*by, "documents", "kept", "any_bits", "common_bits", F.inline(each))
 
 
-DIGEST = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+DIGEST = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failure_bits", "base_failed", "kept")
 
 
 def judged(book: DataFrame, policy: str = STANDARD) -> DataFrame:
@@ -134,13 +136,13 @@ def judged(book: DataFrame, policy: str = STANDARD) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = STANDARD) -> DataFrame:
-    """The rows that a policy keeps, with all their columns."""
-    book = ledger(docs.select("doc_id", "text", F.struct("*").alias("_row")), keep=("_row",))
-    return book.where(~failed("base@1") & ~failed(policy)).select("_row.*")
+    """The rows that a policy keeps, with all their columns, whatever their names; null and empty texts go (few_words)."""
+    book = ledger(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), keep=("row",))
+    return book.where(~failed("base@1") & ~failed(policy)).select("row.*")
 
 
 #: The same for DuckDB, by joins instead of arrays.
-SQL = r"""
+_JUDGED = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lists AS (
   SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS ls FROM docs),
@@ -162,10 +164,23 @@ measured AS (
     length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS n_upper, length(regexp_replace(text, '\P{L}+', '', 'g')) AS n_letters,
     length(text) - length(replace(text, '!', '')) AS n_exclamations, coalesce(n_stutters, 0) AS n_stutters
   FROM lists LEFT JOIN covered USING (r) LEFT JOIN stutter USING (r) LEFT JOIN lined USING (r)),
-judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+judged AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN 100 * n_upper > 50 * n_letters THEN 16 ELSE 0 END
+    + CASE WHEN 100 * n_exclamations > 30 * n_words THEN 32 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_stutters > 20 * n_words THEN 128 ELSE 0 END AS BIGINT) AS failure_bits
+  FROM measured)
+"""
+SQL = _JUDGED + """
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR 100 * n_upper > 50 * n_letters
-    OR 100 * n_exclamations > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_stutters > 20 * n_words) AS kept
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failure_bits, failure_bits & 3 <> 0 AS base_failed, failure_bits = 0 AS kept
 FROM judged
 """
+
+#: ``ablation`` of the policy standard@2 for DuckDB.
+ABLATION_SQL = _JUDGED + """
+SELECT rule, CAST(bit AS BIGINT) AS bit, count(*) AS documents, count(*) FILTER (failure_bits = 0) AS kept, bit_or(CASE WHEN failure_bits <> 0 THEN failure_bits END) AS any_bits,
+  bit_and(CASE WHEN failure_bits <> 0 THEN failure_bits END) AS common_bits, count(*) FILTER (failure_bits & bit <> 0) AS failed, count(*) FILTER (failure_bits = bit) AS failed_alone
+FROM judged, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('capitals', 16), ('exclamations', 32), ('word_length', 64), ('stuttering', 128)) t(rule, bit)
+GROUP BY rule, bit
+"""
