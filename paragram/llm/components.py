@@ -13,10 +13,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round sends every node to the least of its neighbours' least and puts the images in place of the ends; images of
     neighbours stay neighbours, so rounds go on until no edge joins two nodes.  Rounds grow with the logarithm of the
-    longest path.  All tables stay distributed; each round's are written to the shared folder.
+    longest path.  All tables stay distributed; each round's are written to the shared folder.  A null end, or an edge from
+    a node to itself, is no edge.
     """
     e = storage.written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    roots = None
+    roots, edges_before = None, e
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("p"))
@@ -26,10 +27,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             roots = jump
         else:
             step = jump.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            before = roots
             roots = storage.written(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            storage.release(before)
         left = jump.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = jump.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         e = e.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        e = storage.written(e, "edges")
+        before, e = edges_before, storage.written(e, "edges")
+        storage.release(before, *([] if jump is roots else [jump]))
+        edges_before = e
         if e.isEmpty():
             return roots

@@ -8,14 +8,20 @@ shuffled as counts first; only buckets with two texts or more go on, and of
 buckets with the same members one (the band of least number).  Their texts are
 compared on the full shingle sets, each pair in the first band it shares, in
 blocks: a large bucket is cut into blocks by a hash, and every pair of blocks
-is a task of its own, so no task holds a whole bucket and no pair is ever a
-row.  What comes back is, per text, its number of links and one edge to its
-group's root; components of these edges are the classes.
+is a group of its own, so no task holds a whole bucket and no pair is ever a
+row.  A text goes to as many groups as its bucket has blocks: up to MOST_BLOCKS
+of them blocks stay at BLOCK_TEXTS texts, beyond that they grow, up to
+BLOCK_CHARS characters; within a group pairs are compared tile by tile, so
+memory doesn't grow with the square of a block.  What comes back is, per text,
+its number of links and one edge to its group's root; components of these edges
+are the classes.
 
 A text of fewer than five words has one shingle, of all its words.  Texts
 without words (null, empty, white space) have no shingles: no links, a class
 of their own.  Rows with a null doc_id take no part (class null, no links).
-Other columns are ignored.  An empty table gives no row.
+Rows that repeat an id are a document each, and copies where their words are
+the same.  A very long text is a block by itself.  Other columns are ignored.
+An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,17 +30,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paragram.llm import storage
 from paragram.llm.components import components
 from paragram.llm.shingles import shingles
-from paragram.llm.textbytes import Words, buffers, mix64, slices, words_of
+from paragram.llm.textbytes import Words, buffers, expand, mix64, slices, words_of
 
 THRESHOLD, RECALL, ROWS = 0.8, 0.99999, 4
-#: Texts and characters of a block of a bucket.
-BLOCK_TEXTS, BLOCK_CHARS = 512, 3_000_000
+#: Texts of a block of a bucket, blocks up to which that holds, and characters of a block at most.
+BLOCK_TEXTS, MOST_BLOCKS, BLOCK_CHARS = 512, 64, 8_000_000
+#: Texts that are compared with as many others at a time.
+TILE = 512
 _BAND_BITS = 6
 
 
@@ -77,16 +86,20 @@ def band_hashes(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
 
 
 def text_keys(w: Words) -> np.ndarray:
-    """A hash of each row's sequence of words."""
-    hashes, place = w.hashes(), np.arange(len(w.start)) - np.repeat(w.first[:-1], w.counts())
-    part = mix64(hashes + mix64(place.astype(np.uint64)))
-    total = np.zeros(len(part) + 1, dtype=np.uint64)
-    np.cumsum(part, out=total[1:])
-    return mix64(total[w.first[1:]] - total[w.first[:-1]] + w.counts().astype(np.uint64)).view(np.int64)
+    """A hash (xxh3) of each row's words, joined by one space."""
+    data, cuts = w.raw.tobytes(), w.offsets.tolist()
+    return np.array([xxhash.xxh3_64_intdigest(b" ".join(data[x:y].split())) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], dtype=np.uint64).view(np.int64)
 
 
-def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key (null without words), chars, bands, raw (a hash of the text as it is); a written table."""
+def _named(df: DataFrame, id_col: str, text_col: str, nameless: bool) -> DataFrame:
+    """id, text, raw (a hash of the text as it is), nameless of every row; rows with a null id go, or get an id made of the text."""
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("raw"), F.col(id_col).isNull().alias("nameless"))
+    return rows.withColumn("id", F.coalesce("id", F.xxhash64("text", F.lit(5)))) if nameless else rows.where("id IS NOT NULL")
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key (null without words), chars, bands, raw, nameless of what ``_named`` gives; a written table."""
 
     def run(batches):
         for batch in batches:
@@ -96,29 +109,45 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands = band_hashes(*shingles(w), w.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 keys = pa.array(text_keys(w), mask=w.counts() == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, pa.array(np.diff(w.offsets)), lists, batch.column(2).slice(a, b - a)], ["doc_id", "text_key", "chars", "bands", "raw"])
-
-    rows = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text", f"xxhash64(CAST(`{text_col}` AS STRING)) AS raw").where("id IS NOT NULL")
-    return storage.written_by(rows, run, "doc_id long, text_key long, chars long, bands array<long>, raw long", "signed")
-
-
-def _linked(sizes: np.ndarray, row: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of texts have at least the threshold's similarity, on their distinct shingles."""
-    n = len(sizes)
-    _, column, count = np.unique(h, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    common = np.zeros((n, n), dtype=np.float32)
-    step = max(64, 4_000_000 // max(n, 1))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, (lo, lo + step))
-        part = np.zeros((n, min(step, int(column[-1]) + 1 - lo)), dtype=np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    return common >= threshold * union - 1e-6
+                own = [batch.column(k).slice(a, b - a) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([own[0], keys, pa.array(np.diff(w.offsets)), lists, *own[1:]], ["doc_id", "text_key", "chars", "bands", "raw", "nameless"])
+
+    return storage.written_by(rows, run, "doc_id long, text_key long, chars long, bands array<long>, raw long, nameless boolean", "signed")
+
+
+class _Sets:
+    """Distinct shingles of texts, by text; those that only one text has are left out, but count in the sizes."""
+
+    def __init__(self, row: np.ndarray, h: np.ndarray, n: int) -> None:
+        self.sizes = np.bincount(row, minlength=n).astype(np.float32)
+        _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        order = np.argsort(row[shared], kind="stable")
+        row, self.column = row[shared][order], column[shared][order]
+        self.first = np.searchsorted(row, np.arange(n + 1))
+
+    def _of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.first[texts + 1] - self.first[texts]
+        return np.repeat(np.arange(len(texts)), size), self.column[expand(self.first[texts], size)]
+
+    def linked(self, one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the texts `one` and `two` have at least the threshold's similarity."""
+        (r1, c1), (r2, c2) = self._of(one), self._of(two)
+        both = np.intersect1d(c1, c2)
+        common = np.zeros((len(one), len(two)), dtype=np.float32)
+        step = max(64, 2_000_000 // max(len(one), len(two)))
+        for lo in range(0, len(both), step):
+            part = both[lo : lo + step]
+            dense = []
+            for r, c, n in ((r1, c1, len(one)), (r2, c2, len(two))):
+                at = np.minimum(np.searchsorted(part, c), len(part) - 1)
+                own = part[at] == c
+                matrix = np.zeros((n, len(part)), dtype=np.float32)
+                matrix[r[own], at[own]] = 1
+                dense.append(matrix)
+            common += dense[0] @ dense[1].T
+        union = self.sizes[one][:, None] + self.sizes[two][None, :] - common
+        return common >= threshold * union - 1e-6
 
 
 def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -130,35 +159,60 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     keys = np.asarray(table["text_key"].combine_chunks())
     good = np.flatnonzero(text_keys(w) == keys)
     good = good[np.unique(keys[good], return_index=True)[1]]
+    n = len(good)
     row, h = shingles(w)
     first = np.unique(mix64(h ^ mix64(row.astype(np.uint64))), return_index=True)[1]  # of each distinct shingle of a text
     place = np.full(w.rows, -1)
-    place[good] = np.arange(len(good))
+    place[good] = np.arange(n)
     row, h = place[row[first]], h[first]
-    row, h = row[row >= 0], h[row >= 0]
+    sets = _Sets(row[row >= 0], h[row >= 0], n)
     keys, block = keys[good], np.asarray(table["block"].combine_chunks())[good]
     copies = np.asarray(table["copies"].combine_chunks())[good]
     bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(w.rows, -1)[good]
-    linked = _linked(np.bincount(row, minlength=len(good)), row, h, THRESHOLD)
-    np.fill_diagonal(linked, False)
-    if left != right:  # pairs within a block are its own task's
-        linked &= block[:, None] != block[None, :]
-    for k in range(bucket & (1 << _BAND_BITS) - 1):  # pairs that an earlier band has are its task's
-        linked &= bands[:, k][:, None] != bands[:, k][None, :]
-    some = np.flatnonzero(linked.any(axis=1))
-    root = np.arange(len(good))
-    while True:  # least number along links
-        least = np.array([min(root[i], root[np.flatnonzero(linked[i])].min()) if linked[i].any() else i for i in range(len(good))], dtype=np.int64)
-        if (least == root).all():
-            break
-        root = least
-    links = linked @ copies
-    return pa.table({"text_key": pa.array(keys[some]), "links": pa.array(links[some], pa.int64()), "root": pa.array(keys[root[some]])})
-
-
-def _classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    earlier = bucket & (1 << _BAND_BITS) - 1
+    links, root = np.zeros(n, dtype=np.int64), list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    one, two = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    for a in range(0, len(one), TILE):
+        mine = one[a : a + TILE]
+        for b in range(a if left == right else 0, len(two), TILE):
+            other = two[b : b + TILE]
+            linked = sets.linked(mine, other, THRESHOLD)
+            same = left == right and a == b
+            if same:
+                np.fill_diagonal(linked, False)
+            for k in range(earlier):  # pairs that an earlier band has are its groups'
+                linked &= bands[mine, k][:, None] != bands[other, k][None, :]
+            if not linked.any():
+                continue
+            links[mine] += linked @ copies[other]
+            if not same:
+                links[other] += linked.T @ copies[mine]
+            # Least numbers along links until nothing changes; then one join for each text of the tile.
+            low, back = mine.copy(), other.copy()
+            while True:
+                on = np.minimum(back, np.where(linked, low[:, None], n).min(axis=0))
+                to = np.minimum(low, np.where(linked, on[None, :], n).min(axis=1))
+                if (on == back).all() and (to == low).all():
+                    break
+                low, back = to, on
+            for x, y in (*zip(mine.tolist(), low.tolist(), strict=True), *zip(other.tolist(), back.tolist(), strict=True)):
+                x, y = top(x), top(y)
+                root[max(x, y)] = min(x, y)
+    some = np.flatnonzero(links)
+    roots = np.array([top(x) for x in some.tolist()], dtype=np.int64)
+    return pa.table({"text_key": pa.array(keys[some]), "links": pa.array(links[some]), "root": pa.array(keys[roots])})
+
+
+def _classes(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The signed documents; and of every distinct text: text_key, root (of its class), class_id, n_links, copies."""
-    docs = signed(df, id_col, text_col)
+    docs = signed(named)
     texts = docs.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("chars").alias("chars"), F.any_value("bands").alias("bands"))
     texts = storage.written(texts, "texts")
 
@@ -169,19 +223,20 @@ def _classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     ).where("n > 1")
     band = F.col("bucket").bitwiseAND(F.lit((1 << _BAND_BITS) - 1))
     kept = full.groupBy("n", "x1", "x2").agg(F.min(F.struct(band.alias("band"), "bucket", "chars")).alias("b"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("b.chars") / BLOCK_CHARS)).cast("int")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK_TEXTS), F.lit(MOST_BLOCKS)), F.least("n", F.ceil(F.col("b.chars") / BLOCK_CHARS))).cast("int")
     kept = kept.select("b.bucket", blocks.alias("blocks"))
     member = buckets.join(kept, "bucket").groupBy("text_key").agg(F.collect_list(F.struct("bucket", "blocks")).alias("groups"))  # at most BANDS
     member = storage.written(member.join(texts, "text_key").select("text_key", "doc_id", "copies", "bands", "groups"), "members")
 
     # Texts of the members, once for each block pair they are in.
-    body = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    body = named.select(F.col("id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = member.join(body, "doc_id").select("text_key", "copies", "bands", "text", F.inline("groups"))
     own = F.pmod(F.xxhash64("text_key", F.lit(7)), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = rows.groupBy("bucket", "i", "j").applyInArrow(_verify, "text_key long, links long, root long")
     found = storage.written(found, "links")
+    storage.release(member)
 
     links = found.groupBy("text_key").agg(F.sum("links").alias("n_links"))
     roots = components(found, "text_key", "root").select(F.col("node").alias("text_key"), "root")
@@ -189,12 +244,14 @@ def _classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     classed = least.join(links, "text_key", "left").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     names = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     texts_out = classed.join(names, "root").select("text_key", "root", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    return docs, storage.written(texts_out, "classes")  # so that adaptive execution can split the documents of a very frequent text
+    out = storage.written(texts_out, "classes")  # so that adaptive execution can split the documents of a very frequent text
+    storage.release(texts, found, roots)
+    return docs, out
 
 
 def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (other documents at the threshold, copies included), n_copies (documents with the same words)."""
-    docs, texts_out = _classes(df, id_col, text_col)
+    docs, texts_out = _classes(_named(df, id_col, text_col, False))
     out = docs.select("doc_id", "text_key").join(texts_out, "text_key", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
     nameless = df.where(F.col(id_col).isNull()).select(*[F.lit(v).cast("long").alias(k) for k, v in (("doc_id", None), ("class_id", None), ("n_links", 0), ("n_copies", 1))])
@@ -202,18 +259,18 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def representatives(df: DataFrame) -> DataFrame:
-    """The rows of one text (of the least doc_id) of each class, with all their columns.
+    """The rows of one text (of the least doc_id, a null one last) of each class, with all their columns, whatever their names.
 
-    A doc_id may stand for several texts; each is kept or not by its own class.  Rows that share an id and a text count as
-    one, and so does each text without words.  Rows with a null doc_id stay.
+    A doc_id may stand for several texts; each is kept or not by its own class.  Rows with a null doc_id are compared like
+    others.  Rows that share an id and a text count as one, and so does each text without words.
     """
-    docs, texts = _classes(df)
-    own = F.struct("doc_id", "raw")
-    first = docs.where("text_key IS NOT NULL").join(texts.select("text_key", "root"), "text_key").groupBy("root").agg(F.min(own).alias("f")).select("f.*")
-    first = first.unionByName(docs.where("text_key IS NULL").select("doc_id", "raw")).distinct().select(F.col("doc_id").alias("_first"), F.col("raw").alias("_raw"))
-    same = (F.col("doc_id") == F.col("_first")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_raw"))
-    kept = df.join(first, same).drop("_first", "_raw").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(df.where("doc_id IS NULL"))
+    docs, texts = _classes(_named(df, "doc_id", "text", True))
+    own = ["nameless", "doc_id", "raw"]
+    first = docs.where("text_key IS NOT NULL").join(texts.select("text_key", "root"), "text_key").groupBy("root").agg(F.min(F.struct(*own)).alias("f")).select("f.*")
+    first = first.unionByName(docs.where("text_key IS NULL").select(*own)).distinct()
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), id_.isNull().alias("nameless"), F.coalesce(id_, F.xxhash64(text, F.lit(5))).alias("doc_id"), F.xxhash64(text).alias("raw"))
+    return rows.join(first, own).dropDuplicates(own).select("row.*")
 
 
 #: The same for DuckDB, over all pairs with a common shingle.
