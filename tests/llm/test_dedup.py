@@ -91,7 +91,8 @@ def test_representatives(spark):
     kept = ngram_join.representatives(frame(spark, rows)).collect()
     firsts = {c for _, c, _ in links_by_brute_force(rows)}
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(firsts)
-    assert sum(r.doc_id is None for r in kept) == 2 and len(kept[0]) == 10
+    # Of the two rows without an id one is a copy of a document.
+    assert sum(r.doc_id is None for r in kept) == 1 and len(kept[0]) == 10
 
 
 def test_bands_reach_the_recall():

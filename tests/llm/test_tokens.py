@@ -105,11 +105,73 @@ def test_packing(spark, capacity):
     assert packing.pack(frame(spark).limit(0), tokenizer_path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_shards_by_key_range_and_lookup(spark):
+    folder = storage.scratch(spark, "t")
+    df = spark.range(400).selectExpr("id * 3 - 600 AS doc_id", "concat('text ', id) AS text").repartition(3)
+    manifest = sstable.write_shards(df, folder, tokenizer_path("byte_bpe_50k.json"), 2)
+    ranges = [(sstable.id_of(bytes(m["first_key"])), sstable.id_of(bytes(m["last_key"]))) for m in manifest]
+    assert ranges[0][0] == -600 and ranges[-1][1] == 597 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert all(r.looked_up for r in sstable.read_shards(spark, folder, manifest).collect())
+    got = {r.doc_id: r.ids for r in sstable.lookup(spark, folder, manifest, [-600, -599, 0, 597, 10**12, None]).collect()}
+    want = library("byte_bpe_50k.json", [f"text {(i + 600) // 3}" for i in (-600, 0, 597)])
+    assert got == {i: [*ids, 2] for i, ids in zip((-600, 0, 597), want, strict=True)}
+    assert sstable.lookup(spark, folder, manifest, [10**12]).count() == 0
+
+
+def test_one_row_repeated_is_split_over_shards(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(4000).selectExpr("5L AS doc_id", "'same text' AS text")
+    folder = storage.scratch(spark, "t")
+    manifest = sstable.write_shards(df, folder, tokenizer_path("byte_bpe_50k.json"), 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 1 and sum(m["documents"] for m in manifest) == 4000
+    rows = sstable.read_shards(spark, folder, manifest).collect()
+    assert len(rows) == 4000 and all(r.looked_up for r in rows) and len({r.start for r in rows}) == 4000
+
+
+def test_few_ids_are_left_to_the_end():
+    rnd = np.random.default_rng(6)
+    packer, whole = packing.Packer(4096, 0, False), 0
+    for i in range(5000):
+        ids = np.zeros(int(rnd.lognormal(6.3, 1.1)) + 1, dtype=np.uint16)
+        whole += len(ids)
+        packer.add(i, ids)
+    assert packer.bins.n_open <= packing.MOST_OPEN == int(packer.bins.levels.sum()) + packing.MOST_OPEN - packer.bins.n_open
+    packer.finish()
+    assert packer.placed == whole and packer.recut <= packing.MOST_OPEN * 4096 and packer.recut < 0.02 * whole
+
+
+def test_bounded_placement_by_brute_force():
+    rnd = np.random.default_rng(7)
+    bins, levels = packing.SumOfSquares(12, 3), {}
+    squares = lambda v: sum(c * c for c in np.bincount([x for x in v if x < 12], minlength=12))
+    for _ in range(500):
+        size, before = int(rnd.integers(1, 13)), dict(levels)
+        parts = bins.place(size)
+        assert sum(p[2] for p in parts) == size and all(before.get(w, 0) == o for w, o, _ in parts)
+        for w, o, n in parts:
+            levels[w] = o + n
+        levels = {w: v for w, v in levels.items() if v < 12}
+        assert len(levels) <= 3
+        if size == 12:
+            continue
+        options = []
+        for w, v in before.items():
+            others = [x for k, x in before.items() if k != w]
+            if v + size <= 12:
+                options.append(([*others, v + size], False))
+            elif len(before) == 3 and not any(x + size <= 12 for x in before.values()):
+                options.append(([*others, v + size - 12], True))
+        if len(before) < 3:
+            options.append(([*before.values(), size], False))
+        assert squares(levels.values()) == min(squares(o) for o, _ in options) and (len(parts) == 2) == options[0][1]
+
+
 def test_sum_of_squares_by_brute_force():
     import random
 
     random.seed(4)
-    bins, levels = packing.SumOfSquares(12), {}
+    bins, levels = packing.SumOfSquares(12, 10**9), {}
     for _ in range(400):
         size = random.randint(1, 12)
         before = list(levels.values())
@@ -124,7 +186,7 @@ def test_sum_of_squares_by_brute_force():
                 counts[h + size] += 1
             return sum(c * c for c in counts[1:12])
 
-        window, level = bins.place(size)
+        ((window, level, _),) = bins.place(size)
         assert levels.get(window, 0) == level
         options = {h for h in before if h and h + size <= 12} | {0}
         if size < 12:
@@ -154,15 +216,18 @@ def test_prefix_query(spark):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = prefix_counts.prefix_counts(frame(spark), PIECES, 20).collect()
+    stored = prefix_counts.stored_tables(frame(spark), PIECES)
+    got = prefix_counts.prefix_counts(stored, 20).collect()
     texts = {r[0]: r[1] or "" for r in corpus() if r[0] is not None}
+    tables = {r.doc_id: r.table for r in stored.collect()}
     for r in got:
         if r.doc_id is None:
             continue
         t = texts[r.doc_id]
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), len(lib.encode(t)), len(lib.encode(t)) > 20)
-        assert prefix_counts.longest_within(r.table, 20) == r.fits_chars
-        assert prefix_counts.count_at(r.table, r.fits_chars) <= 20 == min(20, len(lib.encode(t[: r.fits_chars + 1])) + 20 * (r.fits_chars == len(t)))
+        table = tables[r.doc_id]
+        assert len(table) == len(t) + 1 and prefix_counts.longest_within(table, 20) == r.fits_chars and prefix_counts.count_at(table, len(t)) == r.n_tokens
+        assert prefix_counts.count_at(table, r.fits_chars) <= 20 == min(20, len(lib.encode(t[: r.fits_chars + 1])) + 20 * (r.fits_chars == len(t)))
     assert len(got) == len(corpus())
 
 
@@ -183,7 +248,13 @@ def test_suffix_matching_is_the_library(spark):
         text = next(x[1] for x in corpus() if x[0] == r.doc_id) or ""
         if r.doc_id is not None:
             assert r.ids_crc32 == crc(lib.encode(text)) and back[r.doc_id] == lib.decode(lib.encode(text)) and r.round_trip == ("▁" not in text)
-    assert suffix_matching.digest(df.limit(0), PIECES).count() == 0 == prefix_counts.prefix_counts(spark.createDataFrame([], SCHEMA), PIECES).count()
+    assert suffix_matching.digest(df.limit(0), PIECES).count() == 0 == prefix_counts.prefix_counts(prefix_counts.stored_tables(spark.createDataFrame([], SCHEMA), PIECES)).count()
+
+
+def test_stored_tables_of_large_steps():
+    for table in ([0], [0, 1, 2, 2, 3, 1], [0, 200, 100, 5000]):
+        data = prefix_counts.packed(np.array(table))
+        assert prefix_counts.unpacked(data).tolist() == table and [prefix_counts.count_at(data, i) for i in range(len(table))] == table
 
 
 def test_suffix_edges_by_brute_force():
