@@ -454,11 +454,6 @@ SELECT DISTINCT src, tgt, confidence, src_len, tgt_len, ratio FROM s WHERE confi
 query(_expand_sql("v4"))(_expand_query("expansion_v4_nosim", V4, False))
 query(_expand_sql("v41"))(_expand_query("expansion_v41_nosim", _loose(V41), False))
 query(_expand_sql("v42"))(_expand_query("expansion_v42_nosim", _loose(V42), False))
-query()(_expand_query("expansion_v4", V4, True))
-query()(_expand_query("expansion_v41", V41, True))
-query()(_expand_query("expansion_v42", V42, True))
-
-
 @query(f"WITH {_PAIRS}, {_CHUNKS}, fresh AS (SELECT DISTINCT {_clean('src')} AS src, {_clean('tgt')} AS tgt FROM ch) SELECT 0 AS part, src, tgt FROM base UNION ALL SELECT 1 AS part, src, tgt FROM fresh ANTI JOIN base USING (src, tgt)")
 def union_merge(spark, sf_dir):
     e = X.exchanges(spark, sf_dir)
@@ -481,7 +476,7 @@ def _archive(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT n_nationkey AS ord, CAST(n_regionkey AS VARCHAR) AS ref_id, n_name || ' | ' || lower(n_name) || ', x;' || n_name[1:1] AS aliases, ' k' || n_nationkey || ' ' AS excavation_no, 'text of ' || n_name AS transliteration FROM nation),
-l AS (SELECT s_suppkey AS ord, s_suppkey % 2 = 0 AS is_alias, CASE WHEN s_suppkey % 2 = 0 THEN ' ' || chr(65 + s_nationkey) || '|z' ELSE 'k' || s_nationkey END AS match_key, s_name FROM supplier WHERE s_suppkey <= 30),
+l AS (SELECT s_suppkey AS ord, s_suppkey % 2 = 0 AS is_alias, CASE WHEN s_suppkey % 2 = 0 THEN ' ' || chr(65 + s_nationkey) || '|z' ELSE 'k' || s_nationkey END AS match_key, s_name FROM supplier),
 names AS (SELECT ord, i, replace(regexp_replace(lower(a[i]), '\s+', '', 'g'), ',', '') AS k FROM (SELECT ord, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT ord, string_split_regex(aliases, '[|;]') AS a FROM p))),
 ai AS (SELECT k, arg_max(ord, ord * 100 + i) AS p_ord FROM names WHERE k <> '' GROUP BY k),
 di AS (SELECT trim(excavation_no) AS k, max(ord) AS p_ord FROM p GROUP BY 1),
@@ -492,12 +487,6 @@ def archive_join(spark, sf_dir):
     return archive.archive_pairs(*_archive(spark, sf_dir))
 
 
-@query()
-def archive_sentences(spark, sf_dir):
-    e = X.exchanges(spark, sf_dir).withColumnRenamed("conv_id", "ref_id").select("ref_id", "turn", "src", "tgt", F.lit("archive_alias").alias("source"), F.col("ref_id").cast("string").alias("match_key"))
-    return expansion.expand(e, ["ref_id", "turn"], V51, baseline=_base(spark, sf_dir).select("src", "tgt"))
-
-
 _EXT = f"""{_EX}, xt AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS mode, conv_id % 3 AS mo, conv_id * 1000 + turn AS line_no, {_clean('src')} AS src, {_clean('tgt')} AS tgt FROM ex),
 active AS (SELECT DISTINCT src, tgt FROM xt WHERE line_no % 7 = 0),
 un AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY mo, line_no) AS rn FROM xt WHERE src <> '' AND tgt <> '') WHERE rn = 1),
@@ -551,7 +540,7 @@ def alias_containment(spark, sf_dir):
     return retrieval.alias_containment(d, ["doc_id"], "low", a).select("doc_id", "ref", "alias")
 
 
-@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, line) OR contains(replace(b.text, '-', ''), replace(line, '-', '')))")
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(b.text, line) OR contains(replace(b.text, '-', ''), replace(line, '-', '')))")
 def line_in_reference(spark, sf_dir):
     lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return retrieval.lines_in_references(lines, "line", X.table(spark, sf_dir, "benchmark"), "text")
@@ -578,11 +567,6 @@ for _k in (3, 4, 6):
     query(_near_sql(_k))(_near_query(_k))
 
 
-@query()
-def proximity_greedy(spark, sf_dir):
-    return pages.mined_greedy(X.pages(spark, sf_dir), surface=lambda c: c.rlike(MARKED), english=L.english_like_alpha)
-
-
 # Retrieval.
 
 _WIN = f"""un AS (SELECT item_id, [u FOR u IN [{_signs('v')} FOR v IN string_split_regex(text, '[\\n.]')] IF u <> ''] AS u FROM benchmark),
@@ -645,23 +629,6 @@ def rerank_coarse(spark, sf_dir):
     return r.select(*key, "ref_id", F.col("shared").cast("long").alias("shared"), F.bround("overlap", 6).alias("overlap"), F.bround("coarse", 6).alias("coarse"))
 
 
-@query()
-def rerank_final(spark, sf_dir):
-    w, key, c = _windows(spark, sf_dir), ["conv_id", "turn"], _candidates(spark, sf_dir)
-    weights = retrieval.idf_table(w)
-    short = retrieval.rerank_coarse(c, key, "tokens", retrieval.retrieve(c, key, "tokens", w, weights), w, weights)
-    texts = X.table(spark, sf_dir, "conversations").select(*key, T.canonical(F.col("text")).alias("canonical"))
-    return retrieval.rerank_final(short, key, texts, w)
-
-
-@query()
-def fuzzy_similarity(spark, sf_dir):
-    e = X.exchanges(spark, sf_dir)
-    a, b = F.col("src"), F.col("tgt")
-    ta, tb = F.array_distinct(S.lexical_tokens(a)), F.array_distinct(S.lexical_tokens(b))
-    return e.select("conv_id", "turn", similarity.fuzzy_ratio(a, b).alias("ratio"), similarity.ratio_bound(a, b).alias("bound"), similarity.blended(a, b, ta, tb).alias("blended"))
-
-
 @query(f"""SELECT conv_id, turn, round_even(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) ELSE 0 END, 6) AS jaccard,
   round_even(2.0::DOUBLE * least(length(src), length(tgt)) / (length(src) + length(tgt)), 6) AS bound FROM (SELECT conv_id, turn, src, tgt, list_distinct({_lex('src')}) AS a, list_distinct({_lex('tgt')}) AS b FROM (WITH {_EX} SELECT * FROM ex))""")
 def token_jaccard(spark, sf_dir):
@@ -680,45 +647,6 @@ def lexicon_coverage(spark, sf_dir):
     return m.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_tokens", F.col("n_hits").cast("long").alias("n_hits"), F.bround("coverage", 6).alias("coverage"))
 
 
-def _surface_query(name: str):
-    def run(spark, sf_dir):
-        forms = retrieval.lexicon(X.table(spark, sf_dir, "benchmark"), "text", True)
-        p = SURFACES[name]
-        corpus = _docs(spark, sf_dir).withColumnRenamed("doc_id", "ord")
-        s = stats.learned_structure(corpus, "text", ["ord"], *p.percentiles, p.starters, p.frequent, p.clamp)
-        return retrieval.surface_scores(_lines(spark, sf_dir), ["doc_id", "line_no"], "line", s, forms, p)
-
-    run.__name__ = f"surface_scores_{name}"
-    return run
-
-
-for _name in SURFACES:
-    query()(_surface_query(_name))
-
-
-def _mined_query(name: str):
-    def run(spark, sf_dir):
-        refs, docs = X.references(spark, sf_dir), X.table(spark, sf_dir, "documents")
-        corpus = docs.where("lang <> 'en'").select(F.col("doc_id").alias("ord"), F.col("text"))
-        forms = retrieval.lexicon(X.table(spark, sf_dir, "benchmark"), "text", name == "v32")
-        found = pages.mined(X.pages(spark, sf_dir), refs, corpus, forms, SURFACES[name], surface=lambda c: c.rlike("[a-z]"), least=2, accept=5)
-        return pages.ordered(found)
-
-    run.__name__ = f"mined_pages_{name}"
-    return run
-
-
-for _name in SURFACES:
-    query()(_mined_query(_name))
-
-
-@query()
-def mined_pages_v2(spark, sf_dir):
-    refs = X.references(spark, sf_dir).select("ref_text")
-    names = X.table(spark, sf_dir, "benchmark").select(F.substring_index("text", " ", 2).alias("alias"))
-    return pages.mined_substring(X.pages(spark, sf_dir), refs, names, surface=lambda c: c.rlike("[a-z]"))
-
-
 # Dataset and metrics.
 
 _KEY = "(conv_id * 7919 + turn * 104729 + pos * 1299709 + 42) % 1000003"
@@ -740,7 +668,7 @@ def dataset_split(spark, sf_dir):
 
 _VOC = f"""{_SPLIT}, tk AS (SELECT conv_id, turn, pos, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM (SELECT conv_id, turn, pos, {_words('src')} AS w FROM spl WHERE part = 'train')),
 cnt AS (SELECT token, count(*) AS n, min((conv_id, turn, pos, p)) AS o FROM tk GROUP BY 1 HAVING count(*) >= 2),
-voc AS (SELECT token, 3 + row_number() OVER (ORDER BY n DESC, o) AS id, n FROM (SELECT * FROM cnt ORDER BY n DESC, o LIMIT 496))"""
+voc AS (SELECT token, 3 + row_number() OVER (ORDER BY n DESC, o) AS id, n FROM (SELECT * FROM cnt ORDER BY n DESC, o LIMIT 19996))"""
 
 
 def _vocab(spark, sf_dir, side="src"):
@@ -778,12 +706,6 @@ def pad_batches(spark, sf_dir):
     return p.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("batch").cast("long").alias("batch"), F.col("ids_length").cast("long").alias("src_length"), F.size("ids").cast("long").alias("padded_length"))
 
 
-@query()
-def training_examples(spark, sf_dir):
-    s = _split(spark, sf_dir).where("part = 'train'")
-    return dataset.examples(s, ["conv_id", "turn", "pos"], _vocab(spark, sf_dir), _vocab(spark, sf_dir, "tgt"))
-
-
 def _bleu_sql() -> str:
     parts, names = [], []
     for n in range(1, 5):
@@ -825,3 +747,6 @@ def funnel_metrics(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: corpus expansion with the high-confidence profile, at a cut-off that plain text reaches."""
     return expansion.expand(X.exchanges(spark, sf_dir), ["conv_id", "turn"], _loose(V42))
+
+
+from paragram import catalog_io, catalog_mining  # noqa: E402, F401  (they add their queries)

@@ -39,7 +39,8 @@ def mined_substring(pages: DataFrame, refs: DataFrame, aliases: DataFrame, page:
     score = F.coalesce("alias_match", F.lit(0)) + F.coalesce("ref_match", F.lit(0)) + 2 + F.when(L.detect_language(F.col("b_line")) == "en", 2).otherwise(0)
     fits = F.length("line").between(5, 500) & F.length("b_line").between(5, 500)
     out = out.withColumn("score", score + F.when(fits, 1).otherwise(0)).where("score >= 7")
-    return out.select(F.col("line").alias("src"), F.col("b_line").alias("tgt"), "score", "distance").dropDuplicates(["src", "tgt"])
+    found = out.select(F.col("line").alias("src"), F.col("b_line").alias("tgt"), "score", "distance", page, "line_no")
+    return dedup.keep_first(found, ["src", "tgt"], page, "line_no").select("src", "tgt", "score", "distance")
 
 
 def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame, p: Surface, page: str = "page_id", text: str = "page_text", surface=None, least: int = 4, accept: int = 7) -> DataFrame:
