@@ -14,9 +14,19 @@ PAD, UNK, BOS, EOS = range(4)
 _BUCKETS = 1 << 12
 
 
+#: Keys of a seeded order lie below this.
+SHUFFLE_BOUND = 1 << 60
+
+
 def shuffle_key(seed: int, *columns: str) -> Column:
-    """A reproducible random order: a hash in [0, 2**62)."""
-    return F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 62) - 1))
+    """A reproducible random order: the first 60 bits of a digest of the seed and the columns, which other engines can make too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def shuffled(df: DataFrame, seed: int, *columns: str) -> DataFrame:
+    """rank (from 0): the place of every row in the seeded order (ties by the columns)."""
+    return ranked(df.withColumn("_key", shuffle_key(seed, *columns)), "_key", list(columns), SHUFFLE_BOUND).drop("_key")
 
 
 def ranked(df: DataFrame, key: str, order: list[str], bound: int) -> DataFrame:

@@ -40,6 +40,11 @@ def baseline_stats(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return out
 
 
+def average_chars(pairs: DataFrame, *columns: str) -> DataFrame:
+    """One row: rows, and the average number of characters of each column (null without rows)."""
+    return pairs.agg(F.count("*").alias("rows"), *[F.avg(F.length(c)).alias(f"{c}_chars") for c in columns])
+
+
 def token_counts(df: DataFrame, tokens: str, *order: str) -> DataFrame:
     """token, n, and the place of its first occurrence (ord: order columns and position)."""
     t = df.select(*order, F.posexplode(tokens).alias("_pos", "token"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paragram.functions import text as T
@@ -39,14 +39,22 @@ def expand(docs: DataFrame, order: list[str], p: Expansion, baseline: DataFrame
     where = [F.col(o) for o in (*order, "k")]
     if not p.percentiles:
         return dedup.keep_best(c, ["src", "tgt"], where).select("src", "tgt")
-    if p.name == "v41":
-        rank = [-F.col("confidence"), F.col("src_len"), F.col("tgt_len")]
-    else:
-        rank = [-F.col("confidence"), F.abs(F.col("ratio") - F.col(p.centre)), F.col("src_len")]
+    rank = _rank(p)
     extra = [x for x in ("source", "match_key", "ref_id") if x in docs.columns]
     return dedup.keep_best(c, ["src", "tgt"], rank + where).select(*extra, "src", "tgt", "confidence", "src_len", "tgt_len", "ratio")
 
 
+def _rank(p: Expansion) -> list[Column]:
+    if p.name == "v41":
+        return [-F.col("confidence"), F.col("src_len"), F.col("tgt_len")]
+    return [-F.col("confidence"), F.abs(F.col("ratio") - F.col(p.centre)), F.col("src_len")]
+
+
+def ordered(found: DataFrame, p: Expansion, *ties: str) -> DataFrame:
+    """The output's order, with the statistics as columns: confidence, closeness to the central ratio (v41: fewer words), length."""
+    return found.orderBy(*_rank(p), *ties)
+
+
 def merged_corpus(docs: DataFrame, order: list[str], p: Expansion) -> DataFrame:
     """Baseline pairs, then new ones; part 0 and 1."""
     baseline = align.baseline_pairs(docs, order)

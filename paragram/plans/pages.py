@@ -114,6 +114,6 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
     return out
 
 
-def ordered(found: DataFrame) -> DataFrame:
-    """The output's order: score, reference score, shared tokens, distance (none last)."""
-    return found.orderBy(F.desc("score"), F.desc("reference_score"), F.desc("shared"), F.coalesce("distance", F.lit(99)))
+def ordered(found: DataFrame, *ties: str) -> DataFrame:
+    """The output's order: score, reference score, shared tokens, distance (none last), then the columns that break ties."""
+    return found.orderBy(F.desc("score"), F.desc("reference_score"), F.desc("shared"), F.coalesce("distance", F.lit(99)), *ties)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
+import threading
+import time
+from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger("paragram")
 
-#: Where str.splitlines() ends a line.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-
-
 def read_csv(spark: SparkSession, path: str, columns: list[str], keep_missing: bool = False, **options) -> DataFrame:
     """Columns by name, all strings, quoted cells over several lines; columns the file lacks are empty (null: keep_missing).
 
@@ -38,16 +39,28 @@ def is_true(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))) == "true", F.lit(False))
 
 
+#: Where str.splitlines() ends a line besides \n, \r and \r\n, at which the text source ends one.
+_RARE_END = "[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1) and line of a text file, split where str.splitlines() splits; U+FFFD for broken bytes."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = F.split(F.regexp_replace("value", f"({LINE_END})\\z", ""), LINE_END)
-    rows = whole.where(F.length("value") > 0).select(F.posexplode(parts).alias("i", "line"))
-    return rows.select((F.col("i") + 1).alias("line_no"), "line")
+    """line_no (from 1) and line of a text file, or of a folder's files in order of their names; U+FFFD for broken bytes.
+
+    Lines end where str.splitlines() ends them (one that ends in a rarer separator at the very end of a file has an empty
+    one after it).  Files are split between tasks: lines are numbered within their block, and the blocks' counts, a row for
+    each block, give the numbers before.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    block = ["file", "start"]
+    rows = raw.select(*block, "id", F.posexplode(F.split("value", _RARE_END)).alias("i", "line"))
+    size = rows.groupBy(*block).agg(F.count("*").alias("n"))
+    before = size.select(*block, F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("id", "i"))
+    return rows.withColumn("n", within).join(F.broadcast(before), block).select((F.col("before") + F.col("n")).alias("line_no"), "line")
 
 
 def read_parallel(spark: SparkSession, src: str, tgt: str, clean=None, drop_empty: bool = False, max_pairs: int | None = None) -> DataFrame:
-    """line_no, src, tgt of two files aligned by line; lines beyond the shorter file vanish."""
+    """line_no, src, tgt of two files aligned by line; lines beyond the shorter file vanish.  max_pairs: the first ones that stay."""
     s = read_lines(spark, src).withColumnRenamed("line", "src")
     t = read_lines(spark, tgt).withColumnRenamed("line", "tgt")
     out = s.join(t, "line_no")
@@ -55,10 +68,7 @@ def read_parallel(spark: SparkSession, src: str, tgt: str, clean=None, drop_empt
         out = out.withColumn("src", clean(F.col("src"))).withColumn("tgt", clean(F.col("tgt")))
     if drop_empty:
         out = out.where("src <> '' AND tgt <> ''")
-    if max_pairs is not None:
-        rank = F.row_number().over(Window.orderBy("line_no"))
-        out = out.withColumn("_n", rank).where(F.col("_n") <= max_pairs).drop("_n")
-    return out
+    return out if max_pairs is None else out.orderBy("line_no").limit(max_pairs)
 
 
 def read_modes(spark: SparkSession, paths: dict[str, tuple[str, str]], clean=None) -> DataFrame:
@@ -74,28 +84,81 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.createDataFrame(rows, T._parse_datatype_string(schema))
 
 
-def write_lines(df: DataFrame, path: str, column: str, *order: str, one_file: bool = True) -> None:
-    """One line a row, in order; newlines inside become spaces."""
+def _laid_out(df: DataFrame, order: tuple[str, ...], one_file: bool) -> DataFrame:
+    """Rows in order over the files (by ranges, each sorted), or in one file."""
     rows = df.orderBy(*order) if order else df
-    rows = rows.select(F.regexp_replace(F.coalesce(column, F.lit("")), "[\\r\\n]+", " ").alias("value"))
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
+    return rows.coalesce(1) if one_file else rows
+
+
+def write_lines(df: DataFrame, path: str, column: str, *order: str, one_file: bool = False) -> None:
+    """One line a row, in order over the folder's files; newlines inside become spaces."""
+    _write_lines(_laid_out(df, order, one_file), path, column)
+
+
+def _write_lines(rows: DataFrame, path: str, column: str) -> None:
+    rows.select(F.regexp_replace(F.coalesce(column, F.lit("")), "[\\r\\n]+", " ").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_parallel(df: DataFrame, src: str, tgt: str, *order: str) -> None:
-    """Both sides in the same order, in one file each."""
-    write_lines(df, src, "src", *order)
-    write_lines(df, tgt, "tgt", *order)
+def write_parallel(df: DataFrame, src: str, tgt: str, *order: str, one_file: bool = False) -> None:
+    """Both sides in the same order, sorted once."""
+    with kept(_laid_out(df.select("src", "tgt", *order), order, one_file)) as rows:
+        _write_lines(rows, src, "src")
+        _write_lines(rows, tgt, "tgt")
 
 
-def write_csv(df: DataFrame, path: str, columns: dict[str, str] | list[str], *order: str) -> None:
-    """A fixed list of fields (or old name to new), with a header; booleans as true and false."""
+def write_csv(df: DataFrame, path: str, columns: dict[str, str] | list[str], *order: str, one_file: bool = False) -> None:
+    """A fixed list of fields (or old name to new), with a header in each file; booleans as true and false."""
     names = columns if isinstance(columns, dict) else {c: c for c in columns}
-    rows = df.orderBy(*order) if order else df
-    rows.select(*[F.col(a).alias(b) for a, b in names.items()]).coalesce(1).write.mode("overwrite").options(header=True, escape='"', quoteAll=False).csv(path)
+    rows = _laid_out(df, order, one_file).select(*[F.col(a).alias(b) for a, b in names.items()])
+    rows.write.mode("overwrite").options(header=True, escape='"', quoteAll=False).csv(path)
+
+
+def write_json(df: DataFrame, path: str, one_file: bool = False) -> None:
+    _laid_out(df, (), one_file).write.mode("overwrite").json(path)
+
+
+def write_copies(df: DataFrame, write, *paths: str) -> None:
+    """The same rows to several places, computed once; write(df, path) writes them."""
+    with kept(df) as rows:
+        for path in paths:
+            write(rows, path)
+
+
+@contextlib.contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df, kept on the executors' disks (and made again where one is lost) while it is written more than once."""
+    rows = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+@contextlib.contextmanager
+def progress(spark: SparkSession, title: str, every: float = 5.0) -> Iterator[None]:
+    """Logs how many tasks of the running stages are done, with the time so far and what is left at that rate."""
+    done, began, tracker = threading.Event(), time.time(), spark.sparkContext.statusTracker()
+
+    def watch() -> None:
+        while not done.wait(every):
+            stages = [i for i in map(tracker.getStageInfo, tracker.getActiveStageIds()) if i is not None]
+            log.info("%s", progress_line(title, sum(i.numCompletedTasks for i in stages), sum(i.numTasks for i in stages), time.time() - began))
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        log.info("%s: done after %.1f s", title, time.time() - began)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def progress_line(title: str, part: int, total: int, seconds: float, width: int = 30) -> str:
+    """A bar, the share done, and the seconds left at the rate so far."""
+    share = part / total if total else 0.0
+    left = f"{seconds * (1 - share) / share:.0f} s left" if share else "no estimate yet"
+    return f"{title}: [{'#' * int(width * share):<{width}}] {part}/{total} ({share:.0%}), {seconds:.0f} s, {left}"
 
 
 def report(metrics: DataFrame, samples: DataFrame | None = None, title: str = "Report", most: int = 10) -> str:

@@ -1,4 +1,4 @@
-"""Every query that has SQL gives DuckDB's rows; the others run."""
+"""Every query gives the rows of its SQL in DuckDB, and some rows at all."""
 
 import glob
 import os
@@ -28,12 +28,11 @@ def test_against_sql(spark, sf, duck, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     want = sorted(tuple(plain(r[columns.index(c)]) for c in sorted(columns)) for r in cur.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in sorted(columns)) for r in df.collect()) == want
+    assert want and sorted(tuple(plain(r[c]) for c in sorted(columns)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_runs(spark, sf, name):
-    catalog.QUERIES[name](spark, sf).collect()
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
 def test_entry(spark, sf):

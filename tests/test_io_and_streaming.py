@@ -35,6 +35,34 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    lines = [f"line {i}" + ("\u2028more" if i % 50 == 0 else "") for i in range(4000)]
+    (tmp_path / "t").write_bytes("\r\n".join(lines[:2000]).encode() + b"\n" + "\n".join(lines[2000:]).encode() + b"\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = io.read_lines(spark, str(tmp_path / "t"))
+        assert got.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 4
+        assert [r.line for r in got.orderBy("line_no").collect()] == "\n".join(lines).splitlines()
+        assert [r.line_no for r in got.orderBy("line_no").collect()] == list(range(1, 4081))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "empty").write_bytes(b"")
+    assert io.read_lines(spark, str(tmp_path / "empty")).count() == 0
+    df = spark.range(1000).selectExpr("id", "concat('x', 999 - id) AS line").repartition(5)
+    io.write_lines(df, str(tmp_path / "many"), "line", "id")
+    assert [r.line for r in io.read_lines(spark, str(tmp_path / "many")).orderBy("line_no").collect()] == [f"x{999 - i}" for i in range(1000)]
+
+
+def test_progress(spark, caplog):
+    assert "[###############               ] 5/10 (50%), 4 s, 4 s left" in io.progress_line("t", 5, 10, 4.0)
+    assert "no estimate" in io.progress_line("t", 0, 0, 1.0)
+    with caplog.at_level("INFO", logger="paragram"), io.progress(spark, "counting", 0.05):
+        spark.range(10**7).selectExpr("sum(hash(id))").collect()
+    assert any("counting: done" in m for m in caplog.messages)
+
+
 def test_boolean_flags_reach_the_scan(spark, tmp_path):
     df = io.to_parquet(spark.createDataFrame([(1, "True "), (2, None), (3, "no")], "i int, has_source string"), str(tmp_path / "p"), ("has_source",))
     hit = df.where("has_source")
