@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are texts, on which nearly all queries spend their time.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer files than the session has cores are dealt to all cores, as one file may be one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df._jdf.inputFiles()) < cores else df
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paragram.functions import lang as L
 from paragram.functions import split as S
 from paragram.functions import text as T
-from paragram.functions.similarity import fuzzy_ratio, jaccard
+from paragram.functions.similarity import fuzzy_ratio, jaccard, ratio_bound
 from paragram.operators import stats
 from paragram.plans.profiles import Surface
 
@@ -114,25 +114,54 @@ def lines_in_references(lines: DataFrame, line: str, refs: DataFrame, ref: str)
     return lines.join(r, F.col("_r").contains(a) | F.col("_r2").contains(F.replace(a, F.lit("-"), F.lit(""))), "left_semi")
 
 
-def best_reference(cands: DataFrame, keys: list[str], text: str, refs: DataFrame, order: str, ref: str, weight: float = 0.65, first: int = 2000, most: int = 300, gap: int | None = None, closest: bool = True) -> DataFrame:
+def _reach(weight: float, a_len: Column, b_len: Column, a_kinds: Column, b_kinds: Column) -> Column:
+    """No blended score exceeds this: by the lengths of the strings and the numbers of distinct tokens."""
+    alike = F.least(a_kinds, b_kinds) / F.greatest(a_kinds, b_kinds, F.lit(1))
+    return F.lit(2 * weight) * F.least(a_len, b_len) / F.greatest(a_len + b_len, F.lit(1)) + F.lit(1 - weight) * alike
+
+
+def _best_of_pool(pool: DataFrame, keys: list[str], texts: DataFrame, weight: float, least: float) -> DataFrame:
+    """keys, score, reference: the most similar of the pool (keys, c_text, c_tokens, id, place), of scores that reach `least`.
+
+    texts: id, r_text, r_tokens.  What token sets and lengths rule out isn't compared as strings.
+    """
+    shared = jaccard(F.array_distinct("c_tokens"), F.array_distinct("r_tokens"))
+    met = pool.join(texts, "id").withColumn("shared", shared)
+    met = met.where(F.lit(weight) * ratio_bound(F.col("c_text"), F.col("r_text")) + F.lit(1 - weight) * F.col("shared") >= least - 1e-9)
+    score = F.lit(weight) * fuzzy_ratio(F.col("c_text"), F.col("r_text")) + F.lit(1 - weight) * F.col("shared")
+    best = met.withColumn("score", score).groupBy(*keys).agg(F.min(F.struct((-F.bround("score", 9)).alias("o"), "place", "score", "r_text")).alias("b"))
+    return best.select(*keys, "b.score", F.col("b.r_text").alias("reference"))
+
+
+def best_reference(cands: DataFrame, keys: list[str], text: str, refs: DataFrame, order: str, ref: str, least: float, weight: float = 0.65, first: int = 2000, most: int = 300) -> DataFrame:
     """Pool of references with the same first token, and the first ones as a fallback; the most similar by string and token set.
 
-    most: pool size, by closeness of token counts (closest) or in order; gap: greatest difference of token counts.
-    keys, score, reference.
+    The pool holds the `most` closest by token count.  It depends on a candidate's first token and token count alone, so it
+    is made once for each such shape, as an array; a candidate's row drops those of it that can't reach `least`, before
+    any pair becomes a row.  keys, score, reference; scores below `least` may be missing.
     """
     c = cands.select(*keys, F.col(text).alias("c_text"), S.lexical_tokens(F.col(text)).alias("c_tokens")).where(F.size("c_tokens") > 0)
-    r = refs.select(F.col(order).alias("ord"), F.col(ref).alias("r_text"), S.lexical_tokens(F.col(ref)).alias("r_tokens"))
-    same = c.withColumn("ft", F.get("c_tokens", F.lit(0))).join(r.withColumn("ft", F.get("r_tokens", F.lit(0))), "ft").drop("ft").withColumn("src", F.lit(0))
-    ahead = F.broadcast(r.where(F.col("ord") < first))  # `first` rows at most
-    pool = same.unionByName(c.crossJoin(ahead).withColumn("src", F.lit(1)))
-    pool = pool.withColumn("off", F.abs(F.size("c_tokens") - F.size("r_tokens")))
-    if gap is not None:
-        pool = pool.where(F.col("off") <= gap)
-    by = ["off", "src", "ord"] if closest else ["src", "ord"]
-    pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("place") <= most)
-    score = F.lit(weight) * fuzzy_ratio(F.col("c_text"), F.col("r_text")) + F.lit(1 - weight) * jaccard(F.array_distinct("c_tokens"), F.array_distinct("r_tokens"))
-    best = pool.withColumn("score", score).groupBy(*keys).agg(F.min(F.struct((-F.bround("score", 9)).alias("o"), "place", "score", "r_text")).alias("b"))
-    return best.select(*keys, "b.score", F.col("b.r_text").alias("reference"))
+    c = c.withColumn("k", F.size("c_tokens")).withColumn("ft", F.get("c_tokens", F.lit(0)))
+    r = refs.select(F.col(order).alias("id"), F.col(ref).alias("r_text"), S.lexical_tokens(F.col(ref)).alias("r_tokens"))
+    meta = r.select(F.get("r_tokens", F.lit(0)).alias("ft"), F.size("r_tokens").alias("size"), "id", F.length("r_text").alias("chars"), F.size(F.array_distinct("r_tokens")).alias("kinds"))
+    shapes = c.select("k", "ft").distinct()
+    off = F.abs(F.col("k") - F.col("size"))
+    item = lambda src: F.struct(off.alias("off"), F.lit(src).alias("src"), "id", "chars", "kinds").alias("item")
+
+    def nearest(rows: DataFrame, by: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("item"))
+        return rows.withColumn("rn", rank).where(F.col("rn") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("item")).alias("items"))
+
+    same = nearest(shapes.join(meta, "ft").select("k", "ft", item(0)), ["k", "ft"]).withColumnRenamed("items", "same")
+    ahead = F.broadcast(meta.where(F.col("id") < first).drop("ft"))  # `first` rows at most
+    fallback = nearest(shapes.select("k").distinct().crossJoin(ahead).select("k", item(1)), ["k"]).withColumnRenamed("items", "ahead")
+    none = F.array().cast(same.schema["same"].dataType)
+    pools = shapes.join(same, ["k", "ft"], "left").join(fallback, "k", "left")
+    pools = pools.select("k", "ft", F.slice(F.array_sort(F.concat(F.coalesce("same", none), F.coalesce("ahead", none))), 1, most).alias("pool"))
+    c = c.join(pools, ["k", "ft"]).withColumn("chars", F.length("c_text")).withColumn("kinds", F.size(F.array_distinct("c_tokens")))
+    placed = F.transform("pool", lambda x, i: F.struct(x["id"].alias("id"), i.alias("place"), _reach(weight, F.col("chars"), x["chars"], F.col("kinds"), x["kinds"]).alias("reach")))
+    c = c.select(*keys, "c_text", "c_tokens", F.inline(F.filter(placed, lambda x: x["reach"] >= least - 1e-9)))
+    return _best_of_pool(c.drop("reach"), keys, r.select("id", "r_text", "r_tokens"), weight, least)
 
 
 def reference_lines(refs: DataFrame, ref: str, text: str) -> DataFrame:
@@ -147,7 +176,8 @@ def best_reference_line(cands: DataFrame, keys: list[str], page: str, text: str,
 
     Of repeated texts the first place counts; then the difference of token counts (gap) and the pool's size (most).
     lines: reference_lines.  names: alias, ref, pos.  on_page: page, alias.  keys (with the page), score, reference; scores below `least` may be missing.
-    Every source is cut to its first `most` texts of each token count beforehand, which the pool's size makes exact.
+    Every source is an array in order, cut to its first `most` texts of each token count, which the pool's size makes exact;
+    a candidate's row makes its pool of them and drops what can't reach `least`, before any pair becomes a row.
     """
 
     def firsts(rows: DataFrame, part: list[str], *order: str) -> DataFrame:
@@ -156,35 +186,31 @@ def best_reference_line(cands: DataFrame, keys: list[str], page: str, text: str,
     c = cands.select(*keys, F.col(text).alias("c_text"), S.lexical_tokens(F.col(text), T.clean_text_marks).alias("c_tokens")).where(F.size("c_tokens") > 0)
     c = c.withColumn("k", F.size("c_tokens")).withColumn("ft", F.get("c_tokens", F.lit(0)))
     texts = lines.groupBy("line").agg(F.min("n").alias("id"), F.first("tokens").alias("tokens"))
-    known = lines.join(texts.select("line", "id"), "line").select("ref", "n", "id", F.size("tokens").alias("size"))
+    texts = texts.withColumn("size", F.size("tokens")).withColumn("item", F.struct("id", "size", F.length("line").alias("chars"), F.size(F.array_distinct("tokens")).alias("kinds")))
+    known = lines.join(texts.select("line", "id", "size", "item"), "line").select("ref", "n", "id", "size", "item")
+
+    def listed_in(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+        return rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "item"))), lambda x: x["item"]).alias(name))
 
-    listed = names.join(known.select("ref", "n", "id", "size"), "ref")
+    listed = names.join(known, "ref")
     place = listed.groupBy("alias").agg(F.min(F.struct("ref", "pos")).alias("place"))  # where the alias comes first
-    listed = firsts(listed.groupBy("alias", "id", "size").agg(F.min("n").alias("ord")), ["alias", "size"], "ord").join(place, "alias")
-    hits = on_page.select(page, "alias").distinct().join(listed, "alias").groupBy(page, "id", "size").agg(F.min(F.struct("place", "ord")).alias("at"))
-    hits = firsts(hits, [page, "size"], "at")
-    near = F.abs(F.col("k") - F.col("size")) <= gap
-    none = F.lit(None).cast(hits.schema["at"].dataType["place"].dataType)
-    columns = lambda src, at: [*keys, "id", F.struct(F.lit(src).alias("src"), at["place"].alias("place"), at["ord"].alias("ord")).alias("at")]
-    plain = {"place": none, "ord": F.col("id")}
-    by_alias = c.join(hits, page).where(near).select(*columns(0, {"place": F.col("at.place"), "ord": F.col("at.ord")}))
-
-    worded = texts.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("size"), F.get("tokens", F.lit(0)).alias("ft"))
-    same = c.join(firsts(worded, ["ft", "size"], "id"), "ft").where(near).select(*columns(1, plain))
-    ahead = lines.where(F.size("tokens") > 0).select("n", "line").orderBy("n").limit(first).join(texts.select("line", "id", F.size("tokens").alias("size")), "line")
-    ahead = ahead.select("id", F.explode(F.sequence(F.col("size") - gap, F.col("size") + gap)).alias("k")).distinct()
-    ahead = F.broadcast(firsts(ahead, ["k"], "id"))  # `first` lines for 2 * gap + 1 counts at most
-    first_ones = c.join(ahead, "k").select(*columns(2, plain))
-
-    pool = by_alias.unionByName(same).unionByName(first_ones).groupBy(*keys, "id").agg(F.min("at").alias("at"))
-    pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("place") <= most).select(*keys, "id", "place")
-    pool = pool.join(texts.select("id", F.col("line").alias("r_text"), F.col("tokens").alias("r_tokens")), "id").join(c.select(*keys, "c_text", "c_tokens"), keys)
-    shared = jaccard(F.array_distinct("c_tokens"), F.array_distinct("r_tokens"))
-    a, b = F.length("c_text"), F.length("r_text")
-    pool = pool.withColumn("shared", shared).where(weight * 2 * F.least(a, b) / (a + b) + F.lit(1 - weight) * F.col("shared") >= least - 1e-9)
-    score = F.lit(weight) * fuzzy_ratio(F.col("c_text"), F.col("r_text")) + F.lit(1 - weight) * F.col("shared")
-    best = pool.withColumn("score", score).groupBy(*keys).agg(F.min(F.struct((-F.bround("score", 9)).alias("o"), "place", "score", "r_text")).alias("b"))
-    return best.select(*keys, "b.score", F.col("b.r_text").alias("reference"))
+    listed = firsts(listed.groupBy("alias", "id", "size", "item").agg(F.min("n").alias("ord")), ["alias", "size"], "ord").join(place, "alias")
+    hits = on_page.select(page, "alias").distinct().join(listed, "alias").groupBy(page, "id", "size", "item").agg(F.min(F.struct("place", "ord")).alias("at"))
+    by_alias = listed_in(firsts(hits, [page, "size"], "at"), page, "at", "by_alias")
+    worded = texts.where(F.size("tokens") > 0).withColumn("ft", F.get("tokens", F.lit(0)))
+    same = listed_in(firsts(worded, ["ft", "size"], "id"), "ft", "id", "same")
+    ahead = lines.where(F.size("tokens") > 0).select("n", "line").orderBy("n").limit(first).select("line").distinct().join(texts, "line")
+    ahead = ahead.withColumn("k", F.explode(F.sequence(F.col("size") - gap, F.col("size") + gap)))
+    ahead = F.broadcast(listed_in(firsts(ahead, ["k"], "id"), "k", "id", "ahead"))  # `first` lines for 2 * gap + 1 counts at most
+
+    c = c.join(by_alias, page, "left").join(same, "ft", "left").join(ahead, "k", "left")
+    none = F.array().cast(same.schema["same"].dataType)
+    near = lambda name: F.filter(F.coalesce(name, none), lambda x: F.abs(x["size"] - F.col("k")) <= gap)
+    c = c.withColumn("pool", F.slice(F.array_distinct(F.concat(near("by_alias"), near("same"), F.coalesce("ahead", none))), 1, most))
+    c = c.withColumn("chars", F.length("c_text")).withColumn("kinds", F.size(F.array_distinct("c_tokens")))
+    placed = F.transform("pool", lambda x, i: F.struct(x["id"].alias("id"), i.alias("place"), _reach(weight, F.col("chars"), x["chars"], F.col("kinds"), x["kinds"]).alias("reach")))
+    c = c.select(*keys, "c_text", "c_tokens", F.inline(F.filter(placed, lambda x: x["reach"] >= least - 1e-9))).drop("reach")
+    return _best_of_pool(c, keys, texts.select("id", F.col("line").alias("r_text"), F.col("tokens").alias("r_tokens")), weight, least)
 
 
 def surface_scores(lines: DataFrame, keys: list[str], line: str, structure: dict[str, DataFrame], forms: DataFrame, p: Surface) -> DataFrame:

@@ -88,7 +88,7 @@ def mined(pages: DataFrame, refs: DataFrame, corpus: DataFrame, forms: DataFrame
             best = retrieval.best_reference_line(cand, key, page, "cand", ref_lines, names, on_page)
         else:
             numbered = refs.select("ref", T.clean_text_marks(F.col("ref_text")).alias("r")).where("r <> ''").withColumn("n", F.col("ref"))
-            best = retrieval.best_reference(cand, key, "cand", numbered, "n", "r")
+            best = retrieval.best_reference(cand, key, "cand", numbered, "n", "r", p.accept)
         ok = F.col("score") >= p.accept
         if v31:
             ok = ok | (F.col("alias_match") & (F.col("score") >= 0.46))
