@@ -17,7 +17,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; in fewer files than the session has cores they are dealt to all cores, as one file may be one task."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs._jdf.inputFiles()) < cores else docs
 
 
 def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
