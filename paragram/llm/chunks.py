@@ -1,7 +1,8 @@
-"""Values of distinct text chunks, computed once and kept between the batches of a task in a bounded cache."""
+"""Values of distinct text chunks, computed once and kept in a cache that is bounded in bytes, one for each worker."""
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -13,10 +14,13 @@ class ChunkCache:
     """Maps a chunk of text to an array of values.
 
     Chunks are found by a 64-bit hash, and the bytes of every hit are compared; a chunk whose hash belongs to another text
-    is computed by itself, each time.  Keys, texts and values take `most_bytes` at most (or what one batch needs).
+    is computed by itself, each time.  Keys, texts and values take `most_bytes` at most (or what one batch needs).  Of a
+    process's caches only the last one used holds anything, so that a reused worker doesn't add them up.
     """
 
-    def __init__(self, kind: type, most_bytes: int = 64 << 20) -> None:
+    _last: weakref.ref[ChunkCache] | None = None
+
+    def __init__(self, kind: type, most_bytes: int = 96 << 20) -> None:
         self.kind, self.most_bytes = kind, most_bytes
         self.clear()
 
@@ -32,6 +36,11 @@ class ChunkCache:
 
     def rows(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks' values one after another, and the offset of each chunk's.  make: values and sizes of new chunks."""
+        last = ChunkCache._last() if ChunkCache._last else None
+        if last is not self:
+            if last is not None:
+                last.clear()
+            ChunkCache._last = weakref.ref(self)
         keys, first, back = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
         if self._bytes() > self.most_bytes:
             self.clear()

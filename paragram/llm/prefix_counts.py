@@ -134,7 +134,6 @@ def stored_tables(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 table, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 tables = [packed(table[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "table"])
-        tool.cache.clear()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return storage.written_by(rows, run, "doc_id long, n_bytes long, table binary", "prefixes")

@@ -175,7 +175,6 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 ids, at = tool.batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
-        tool.cache.clear()
 
     return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -209,7 +208,6 @@ def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                     rows.append((len(own), crc(own), hashlib.sha256(text).hexdigest(), text == data[cuts[a + i] : cuts[a + i + 1]]))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
-        tool.cache.clear()
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, schema)

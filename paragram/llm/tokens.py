@@ -22,8 +22,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 _SEPARATOR = "<|endoftext|>"
-#: Bytes of chunks and ids that a task keeps between batches.
-CACHE = 48 << 20
 
 
 def chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -48,7 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = ChunkCache(self.type, CACHE)
+        self.cache = ChunkCache(self.type)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks one after another, and how many each has."""
@@ -91,10 +89,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded_rows(column: pa.Array, path: str, end: int):
-    """For each slice of the column: its first row, ids with `end` after each row, and the id range of each row.
-
-    Chunks are kept from call to call; a task drops them at its end by ``forget``.
-    """
+    """For each slice of the column: its first row, ids with `end` after each row, and the id range of each row."""
     raw, offsets = buffers(column)
     tool = encoder(path)
     for a, b in slices(offsets):
@@ -109,11 +104,5 @@ def encoded_rows(column: pa.Array, path: str, end: int):
         yield a, out, bounds + rows
 
 
-def forget() -> None:
-    """Empties the caches, so that a reused worker holds no more than the tokenizers between tasks."""
-    for tool in _ENCODERS.values():
-        tool.cache.clear()
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

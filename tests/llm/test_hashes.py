@@ -82,3 +82,13 @@ def test_duplicates(spark):
         rows = ngram_join.joined(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
         alike = len({*words(pair[0])}) == 2  # the sequences have the same few shingles, but are no copies
         assert {r.n_copies for r in rows} == {1} and len({r.class_id for r in rows}) == (1 if alike else 2)
+
+
+def test_one_cache_of_a_process_holds_something():
+    make = lambda texts: (np.zeros(len(texts)), np.ones(len(texts), dtype=np.int64))
+    raw, offsets = buffers(pa.array(["a", "b"]))
+    one, two = chunks.ChunkCache(np.int8), chunks.ChunkCache(np.int8)
+    one.rows(raw, offsets[:-1], offsets[1:], make)
+    assert len(one.keys) == 2
+    two.rows(raw, offsets[:-1], offsets[1:], make)
+    assert len(one.keys) == 0 and len(two.keys) == 2
