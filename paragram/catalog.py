@@ -254,13 +254,9 @@ _QUOTE = "regexp_matches(line, '[\"''“”]')"
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (e1) AS english_1, count(*) FILTER (e3) AS english_3, count(*) FILTER (e31) AS english_31, count(*) FILTER (e32) AS english_32,
   count(*) FILTER (s2) AS sentence_2, count(*) FILTER (s3) AS sentence_3, count(*) FILTER (s31) AS sentence_31, count(*) FILTER (s32) AS sentence_32, round_even(max(es), 6) AS best_score FROM f GROUP BY doc_id""")
 def english_and_sentence_like(spark, sf_dir):
-    c = F.col("line")
-    flags = {
-        "english_1": L.english_like_words(c), "english_3": L.english_like_share(c), "english_31": L.english_like_alpha(c), "english_32": L.english_like_alpha(c, L.ENGLISH_33, 0.60),
-        "sentence_2": L.sentence_like_words(c), "sentence_3": L.sentence_like_v3(c), "sentence_31": L.sentence_like_v31(c), "sentence_32": L.sentence_like_v32(c),
-    }
-    rows = _lines(spark, sf_dir).select("doc_id", *[f.alias(k) for k, f in flags.items()], L.english_score(c).alias("es"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), *[F.count(F.when(F.col(k), 1)).alias(k) for k in flags], F.bround(F.max("es"), 6).alias("best_score"))
+    rows = L.line_flags(_lines(spark, sf_dir), "line")
+    names = ("english_1", "english_3", "english_31", "english_32", "sentence_2", "sentence_3", "sentence_31", "sentence_32")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), *[F.count(F.when(F.col(k), 1)).alias(k) for k in names], F.bround(F.max("english_score"), 6).alias("best_score"))
 
 
 _AZX = "regexp_extract_all(lower(text), '[a-zà-ÿ]+')"
@@ -555,8 +551,9 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(near_no AS BIGINT) AS ne
 
 def _near_query(k: int):
     def run(spark, sf_dir):
-        rows = _lines(spark, sf_dir)
-        n = align.near_lines(rows.where(F.col("line").rlike(MARKED)), rows.where(L.english_like_alpha(F.col("line"))), ["doc_id"], k)
+        rows = X.pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), S.lines(F.col("page_text")).alias("l"))
+        flags = lambda f: F.transform("l", f)
+        n = align.near_in_page(rows.withColumn("marked", flags(lambda c: c.rlike(MARKED))).withColumn("english", flags(lambda c: L.english_like_alpha(c))), ["doc_id"], "l", "marked", "english", k)
         return n.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("b_no").cast("long").alias("near_no"), F.col("distance").cast("long").alias("distance"))
 
     run.__name__ = f"proximity_pairs_k{k}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paragram.functions import split as S
@@ -95,6 +95,29 @@ def sentence_like_v32(c: Column) -> Column:
     return sentence_like(c, 60, english_like_alpha(c, ENGLISH_33, 0.60), 0.68, False)
 
 
+def line_flags(df: DataFrame, line: str) -> DataFrame:
+    """All the detectors of English and of sentences at once, beside the other columns; words, letters and hits are made once.
+
+    english_1, english_3, english_31, english_32, sentence_2, sentence_3, sentence_31, sentence_32, english_score.
+    """
+    c, keep = F.col(line), df.columns
+    made = df.select(*keep, T.words(c).alias("_w"), S.ascii_words(c).alias("_az"), T.alpha_ratio(c).alias("_alpha"), c.rlike("[\"']").alias("_quote"), c.rlike("[“”]").alias("_curly"), c.rlike("[.!?:;]$").alias("_ends"))
+    bonus = F.filter("_az", lambda x: x.isin(*ENGLISH_33, *NEARBY_BONUS))  # the few words that count for anything
+    made = made.withColumn("_n", F.size("_w")).withColumn("_m", F.size("_az")).withColumn("_known", bonus)
+    made = made.withColumn("_h24", hits(F.col("_known"), ENGLISH_24)).withColumn("_h33", hits(F.col("_known"), ENGLISH_33)).withColumn("_near", hits(F.col("_known"), NEARBY_BONUS))
+    made = made.withColumn("_plain", F.filter("_w", lambda x: x.rlike("^[a-z.,!?:]+\n?$")))
+    n, m, alpha, quote = F.col("_n"), F.col("_m"), F.col("_alpha"), F.col("_quote") | F.col("_curly")
+    e31, e32 = (m >= 3) & (F.col("_h24") >= 1) & (alpha >= 0.55), (m >= 3) & (F.col("_h33") >= 1) & (alpha >= 0.60)
+    ascii_ = F.size(F.filter("_w", lambda x: x.rlike("^[a-zA-Z.,!?'\"-]+$")))
+    flags = {
+        "english_1": (F.size("_plain") / (n + F.lit(1e-9)) > 0.7) & F.exists("_plain", lambda x: x.isin(*ENGLISH_10)), "english_3": (m >= 3) & (F.col("_h24") >= 1) & (F.col("_h24") / m >= 0.06), "english_31": e31, "english_32": e32,
+        "sentence_2": n.between(3, 50) & (F.col("_quote") | (ascii_ / (n + F.lit(1e-9)) > 0.6)), "sentence_3": n.between(3, 45) & (quote | (alpha >= 0.55) | F.col("_ends")),
+        "sentence_31": n.between(3, 55) & (quote | (alpha >= 0.60) | e31), "sentence_32": n.between(3, 60) & (quote | (alpha >= 0.68) | e32),
+        "english_score": F.when(m > 0, F.col("_h33") / m + F.lit(0.05) * F.col("_near")).otherwise(F.lit(0.0)),
+    }
+    return made.select(*keep, *[f.alias(k) for k, f in flags.items()])
+
+
 def detect_language(c: Column) -> Column:
     """en, de, fr or es by common words (ties in that order); unknown below three words or without a hit."""
     w = S.ascii_words(c, "[a-zà-ÿ]+")

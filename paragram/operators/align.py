@@ -69,6 +69,23 @@ def near_lines(candidates: DataFrame, others: DataFrame, page: list[str], most:
     return out.select(*page, F.col("a_no").alias("line_no"), F.col("a_line").alias("line"), "b.b_no", "b.b_line", "b.distance", "b.near_score")
 
 
+def near_in_page(pages: DataFrame, page: list[str], lines: str, candidate: str, other: str, most: int) -> DataFrame:
+    """For each candidate line the nearest other line of its page within `most` lines, without a shuffle: page, line_no, line, b_no, b_line, distance.
+
+    lines: an array column; candidate, other: array columns of flags, one for each line.  Ties go to the line before.
+    """
+    steps = F.array(*[F.lit(x) for d in range(1, most + 1) for x in (-d, d)])
+
+    def nearest(i: Column) -> Column:
+        return F.get(F.filter(steps, lambda d: (i + d >= 0) & F.coalesce(F.get(F.col(other), F.greatest(i + d, F.lit(0))), F.lit(False))), F.lit(0))
+
+    at = F.filter(F.transform(candidate, lambda flag, i: F.when(flag, i)), lambda i: i.isNotNull())
+    met = F.filter(F.transform(at, lambda i: F.struct(i.alias("line_no"), nearest(i).alias("d"))), lambda x: x["d"].isNotNull())
+    out = pages.select(*page, lines, F.inline(met))
+    b_no = F.col("line_no") + F.col("d")
+    return out.select(*page, "line_no", F.get(lines, F.col("line_no")).alias("line"), b_no.alias("b_no"), F.get(lines, b_no).alias("b_line"), F.abs("d").alias("distance"))
+
+
 def greedy_lines(pages: DataFrame, page: list[str], sources: str, targets: str, most: int = 3) -> DataFrame:
     """Sources in page order, each takes the nearest target line not taken yet within `most` lines (ties: the line before).
 

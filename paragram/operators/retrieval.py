@@ -102,16 +102,110 @@ def rerank_final(short: DataFrame, keys: list[str], cand_text: DataFrame, window
     return out.withColumn("matched", ok)
 
 
+#: Characters of a word that words are matched by before they are compared whole, and words too long to be cut into such pieces.
+_KEY_CHARS, _LONG_WORD = 6, 200
+
+
+def _pieces(word: Column, sizes: range) -> Column:
+    """Every piece of the word of each size."""
+    n = F.length(word)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(word, i, F.lit(k))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(k), none) for k in sizes])))
+
+
+#: Up to so many strings, of so many characters together, are broadcast and tried on every row.
+FEW, FEW_CHARS = 1_000, 1_000_000
+
+
+def are_few(df: DataFrame, column: str) -> bool:
+    """Whether the strings (looked at no further than FEW) are few and short enough to be broadcast."""
+    n, chars = df.select(column).limit(FEW + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
+    return n <= FEW and chars <= FEW_CHARS
+
+
+def contained(hay: DataFrame, key: list[str], text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """key, needle: which texts hold which (distinct) needles as substrings.  A null or empty needle is in none.
+
+    A few needles are broadcast and tried on every text; more are found by joins of words (contained_by_words).
+    """
+    n = needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct()
+    if are_few(n, "needle"):
+        return hay.select(*key, F.col(text).alias("hay")).join(F.broadcast(n), F.col("hay").contains(F.col("needle"))).select(*key, "needle")
+    return contained_by_words(hay, key, text, n)
+
+
+def contained_by_words(hay: DataFrame, key: list[str], text: str, n: DataFrame) -> DataFrame:
+    """key, needle of any number of distinct needles.
+
+    Joins by equality only.  A needle's longest inner word is a word of the text; with no inner word, its first ends one, its
+    last begins one, or its only word lies inside one.  Words of the texts, each once, are matched with those words by
+    their ends (or pieces) of up to six characters, and then the texts that have such a word are searched.
+    """
+    space = T.WS + "+"
+    parts = F.split("needle", space)
+    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))
+    longest = lambda a: F.array_max(F.transform(a, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    role = F.when(F.size(inner) > 0, "whole").when(F.size(parts) == 1, "inside").when(F.length(first) >= F.length(last), "end").otherwise("start")
+    word = F.when(role == "whole", longest(inner)).when(role.isin("inside", "end"), first).otherwise(last)
+    n = n.withColumn("role", role).withColumn("anchor", word)
+    blank = n.where("anchor = '' OR anchor IS NULL").select("needle")  # nothing but white space
+    n = n.where("anchor <> ''")
+    cut = F.least(F.length("anchor"), F.lit(_KEY_CHARS))
+    n = n.withColumn("piece", F.when(role_is("whole"), F.col("anchor")).when(role_is("end"), F.right("anchor", cut)).otherwise(F.left("anchor", cut)))
+
+    words = hay.select(*key, F.explode(F.array_distinct(T.words(F.col(text)))).alias("word"))
+    kinds = words.select("word").distinct()
+    sizes = range(1, _KEY_CHARS + 1)
+    ends = F.array(*[F.struct(F.lit(r).alias("role"), f("word", F.lit(k)).alias("piece")) for r, f in (("end", F.right), ("start", F.left)) for k in sizes], F.struct(F.lit("whole").alias("role"), F.col("word").alias("piece")))
+    pieces = kinds.select("word", F.inline(F.array_distinct(ends)))
+    short = kinds.where(F.length("word") <= _LONG_WORD).select("word", F.lit("inside").alias("role"), F.explode(_pieces(F.col("word"), sizes)).alias("piece"))
+    match = pieces.unionByName(short).join(n, ["role", "piece"])
+    fits = F.when(role_is("whole"), F.col("word") == F.col("anchor")).when(role_is("end"), F.col("word").endswith(F.col("anchor"))).when(role_is("start"), F.col("word").startswith(F.col("anchor"))).otherwise(F.col("word").contains(F.col("anchor")))
+    match = match.where(fits).select("word", "needle")
+    # Very long words, which are few, are searched for the single words as they are.
+    long = kinds.where(F.length("word") > _LONG_WORD).join(n.where(role_is("inside")), F.col("word").contains(F.col("anchor"))).select("word", "needle")
+    pairs = words.join(match.unionByName(long).distinct(), "word").select(*key, "needle").distinct()
+    rows = hay.select(*key, F.col(text).alias("hay"))
+    found = pairs.join(rows, key).where(F.col("hay").contains(F.col("needle"))).select(*key, "needle")
+    rest = rows.join(blank, F.col("hay").contains(F.col("needle"))).select(*key, "needle")
+    return found.unionByName(rest).distinct()
+
+
+def role_is(name: str) -> Column:
+    return F.col("role") == name
+
+
 def alias_containment(pages: DataFrame, page: list[str], text: str, alias: DataFrame) -> DataFrame:
     """page, alias (and its other columns) for every alias that is a substring of the page's text; once a page, not once a line."""
-    return pages.join(alias, F.col(text).contains(F.col("alias")))
+    return contained(pages, page, text, alias, "alias").withColumnRenamed("needle", "alias").join(alias, "alias")
 
 
 def lines_in_references(lines: DataFrame, line: str, refs: DataFrame, ref: str) -> DataFrame:
-    """Lines that a reference contains, as they are or both without hyphens."""
-    r = refs.select(F.col(ref).alias("_r"), F.replace(F.col(ref), F.lit("-"), F.lit("")).alias("_r2")).distinct()
-    a = F.col(line)
-    return lines.join(r, F.col("_r").contains(a) | F.col("_r2").contains(F.replace(a, F.lit("-"), F.lit(""))), "left_semi")
+    """Lines that a reference contains, as they are or both without hyphens; each distinct line is searched once.
+
+    A few references are broadcast and searched for every line; with more of them lines are found by joins of words.
+    """
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    known = refs.select(F.col(ref).alias("_r")).where("_r IS NOT NULL").distinct()
+    if are_few(known, "_r"):
+        a = F.col(line)
+        known = F.broadcast(known.withColumn("_r2", plain("_r")))
+        return lines.join(known, (a != "") & (F.col("_r").contains(a) | F.col("_r2").contains(plain(line))), "left_semi")
+    return lines_in_references_by_words(lines, line, refs, ref)
+
+
+def lines_in_references_by_words(lines: DataFrame, line: str, refs: DataFrame, ref: str) -> DataFrame:
+    """The same for any number of references."""
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    own = lines.select(F.col(line).alias("needle")).where("needle <> ''").distinct().withColumn("plain", plain("needle"))
+    r = refs.select(F.col(ref).alias("hay")).where("hay IS NOT NULL").distinct().withColumn("id", F.col("hay"))
+    as_is = contained_by_words(r, ["id"], "hay", own.select("needle")).select("needle")
+    bare = contained_by_words(r.select("id", plain("hay").alias("hay")), ["id"], "hay", own.where("plain <> ''").select(F.col("plain").alias("needle")).distinct()).select(F.col("needle").alias("plain")).distinct()
+    signs = own.where("plain = ''").join(r.limit(1).select(F.lit("").alias("plain")), "plain")  # only hyphens: in any reference
+    hits = as_is.unionByName(own.join(bare, "plain").select("needle")).unionByName(signs.select("needle")).distinct()
+    return lines.join(hits.withColumnRenamed("needle", line), line, "left_semi").select(*lines.columns)
 
 
 def _reach(weight: float, a_len: Column, b_len: Column, a_kinds: Column, b_kinds: Column) -> Column:

@@ -31,7 +31,7 @@ def mined_substring(pages: DataFrame, refs: DataFrame, aliases: DataFrame, page:
     surface = surface or L.is_surface
     lines = page_lines(pages, page, text)
     low = pages.select(page, F.lower(F.col(text)).alias("_low"))
-    with_alias = low.join(aliases.select(F.lower("alias").alias("alias")).distinct(), F.col("_low").contains(F.col("alias")), "left_semi").select(page).withColumn("alias_match", F.lit(5))
+    with_alias = retrieval.contained(low, [page], "_low", aliases.select(F.lower("alias").alias("alias")), "alias").select(page).distinct().withColumn("alias_match", F.lit(5))
     cand = lines.where(surface(F.col("line")) & (T.n_words(F.col("line")) <= 20))
     inside = retrieval.lines_in_references(cand, "line", refs, "ref_text").select(page, "line_no").withColumn("ref_match", F.lit(3))
     near = align.near_lines(cand, lines.where(L.sentence_like_words(F.col("line"))), [page], 3)
