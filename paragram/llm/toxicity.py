@@ -92,7 +92,7 @@ class Lexicon:
     def matrix(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row of FEATURES for each text; all zero for a text without words."""
         if self._cache is None:
-            self._cache = ChunkCache(np.int8)
+            self._cache = ChunkCache(np.int8, 32 << 20)
         rows, w, sums = len(offsets) - 1, words_of(raw, offsets), Sums(offsets)
         n, row = w.counts(), w.row_of()
         flags = self._cache.rows(w.raw, w.start, w.end, self.flags)[0] if len(w.start) else np.empty(0, dtype=np.int8)
