@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from paragram.llm.textbytes import expand, same_spans, span_hashes, strings, take
+from paragram.llm.textbytes import PAD, expand, same_spans, span_hashes, strings, take
 
 
 class ChunkCache:
@@ -28,7 +28,7 @@ class ChunkCache:
         self.keys = np.empty(0, dtype=np.uint64)
         self.at, self.size = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
         self.text_at, self.text_size = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
-        self.texts = np.empty(0, dtype=np.uint8)
+        self.texts = np.zeros(PAD, dtype=np.uint8)  # with PAD bytes behind them
         self.values = np.empty(0, dtype=self.kind)
 
     def _bytes(self) -> int:
@@ -58,15 +58,15 @@ class ChunkCache:
             join = lambda old, places, base: np.concatenate([old, (base + places).astype(np.int32)])[order]
             self.at = join(self.at, np.cumsum(size) - size, len(self.values))
             self.size = join(self.size, size, 0)
-            self.text_at = join(self.text_at, bounds[:-1], len(self.texts))
+            self.text_at = join(self.text_at, bounds[:-1], len(self.texts) - PAD)
             self.text_size = join(self.text_size, np.diff(bounds), 0)
             self.keys = merged[order]
-            self.texts = np.concatenate([self.texts, texts])
+            self.texts = np.concatenate([self.texts[:-PAD], texts, np.zeros(PAD, dtype=np.uint8)])
             self.values = np.concatenate([self.values, values.astype(self.kind)])
             at = np.searchsorted(self.keys, keys)
         entry = at[back]
         text_at = self.text_at[entry].astype(np.int64)
-        other = np.flatnonzero(~same_spans(raw, start, end, self.texts, text_at, text_at + self.text_size[entry]))
+        other = np.flatnonzero(~same_spans(raw, start, end, self.texts, text_at, text_at + self.text_size[entry], True))
         place, size, values = self.at[entry].astype(np.int64), self.size[entry].astype(np.int64), self.values
         if len(other):
             more, sizes = make(strings(raw, start[other], end[other]))

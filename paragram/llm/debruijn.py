@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paragram.llm import storage
+from paragram.llm import storage, workers
 from paragram.llm.textbytes import TWO, Words, buffers, expand, mix64, range_hashes, slices, window_hashes, word_digests, words_of
 
 WINDOW, NODE = 35, 8
@@ -287,7 +287,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = storage.written(spots.where("first <> last").select("h1", "h2"), "again")
     hits = left.join(again, ["h1", "h2"]).groupBy("t").agg(F.collect_set("p").alias("hits"))
     late = followed.where("text IS NOT NULL").select("t", "u", "text", "sure").join(hits, "t", "left").select("t", "u", "text", "sure", "hits")
-    late = late.mapInArrow(_finish, "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
+    late = late.mapInArrow(workers.task(_finish), "t long, u long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
     early = followed.where("text IS NULL").select("t", "u", "n_removed", "kept", "spans")
     results = early.unionByName(late).dropDuplicates(["t", "u"])
     results = storage.written(texts.select("t", "u", "copies").join(results, ["t", "u"], "left"), "removed")
@@ -337,7 +337,7 @@ def cleaned(df: DataFrame) -> DataFrame:
                 columns[k] = pc.if_else(pc.is_null(spans), columns[k], size)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(workers.task(run), kind)
 
 
 #: The same for DuckDB.

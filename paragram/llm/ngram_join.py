@@ -154,21 +154,28 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links among the texts of two blocks of a bucket: text_key, links, root."""
     bucket, left, right = (k.as_py() for k in key)
     raw, offsets = buffers(table["text"])
-    w = words_of(raw, offsets)
+    # Word by word in slices of the group; what stays is its distinct shingles.
+    names, rows_of, hashes_of = [], [], []
+    for a, b in slices(offsets, 1 << 20):
+        w = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        names.append(text_keys(w))
+        row, h = shingles(w)
+        first = np.unique(mix64(h ^ mix64(row.astype(np.uint64))), return_index=True)[1]  # of each distinct shingle of a text
+        rows_of.append(row[first] + a)
+        hashes_of.append(h[first])
+    n_rows, own_keys, row, h = len(offsets) - 1, np.concatenate(names), np.concatenate(rows_of), np.concatenate(hashes_of)
     # A doc_id may stand for several texts; only the one that the key names is meant, once.
     keys = np.asarray(table["text_key"].combine_chunks())
-    good = np.flatnonzero(text_keys(w) == keys)
+    good = np.flatnonzero(own_keys == keys)
     good = good[np.unique(keys[good], return_index=True)[1]]
     n = len(good)
-    row, h = shingles(w)
-    first = np.unique(mix64(h ^ mix64(row.astype(np.uint64))), return_index=True)[1]  # of each distinct shingle of a text
-    place = np.full(w.rows, -1)
+    place = np.full(n_rows, -1)
     place[good] = np.arange(n)
-    row, h = place[row[first]], h[first]
+    row = place[row]
     sets = _Sets(row[row >= 0], h[row >= 0], n)
     keys, block = keys[good], np.asarray(table["block"].combine_chunks())[good]
     copies = np.asarray(table["copies"].combine_chunks())[good]
-    bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(w.rows, -1)[good]
+    bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(n_rows, -1)[good]
     earlier = bucket & (1 << _BAND_BITS) - 1
     links, root = np.zeros(n, dtype=np.int64), list(range(n))
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from paragram.llm import workers
 from paragram.llm.tokens import crc, encoded_rows
 
 #: Windows that a task holds open; each more keeps more documents whole and leaves more to be re-cut at the task's end.
@@ -163,4 +164,4 @@ def pack(df: DataFrame, tokenizer: str, end: int, capacity: int = 4096, with_ids
         yield packer.rows()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, schema + ", ids binary" * with_ids)
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(workers.task(run, tokenizer), schema + ", ids binary" * with_ids)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragram.llm import pieces, storage
+from paragram.llm import pieces, storage, workers
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.textbytes import buffers, slices
 
@@ -91,13 +91,8 @@ class PrefixCounter:
         return table, chars
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return workers.tool(("counts", path), lambda: PrefixCounter(path))
 
 
 def packed(table: np.ndarray) -> bytes:
@@ -136,7 +131,7 @@ def stored_tables(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(tables, pa.binary())], ["doc_id", "n_bytes", "table"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return storage.written_by(rows, run, "doc_id long, n_bytes long, table binary", "prefixes")
+    return storage.written_by(rows, run, "doc_id long, n_bytes long, table binary", "prefixes", ("counts", model))
 
 
 def prefix_counts(tables: DataFrame, budget: int = 4096) -> DataFrame:
@@ -151,4 +146,4 @@ def prefix_counts(tables: DataFrame, budget: int = 4096) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or ((), (), ()), (pa.int64(), pa.bool_(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
 
-    return tables.select("doc_id", "n_bytes", "table").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    return tables.select("doc_id", "n_bytes", "table").mapInArrow(workers.task(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paragram.llm import workers
 from paragram.llm.features import quality_matrix
 from paragram.llm.labelled import SAMPLE_ROWS, fold, training_rows
 from paragram.llm.textbytes import buffers, slices
@@ -103,7 +104,7 @@ def matrix_of(rows: DataFrame, extract) -> tuple[np.ndarray, np.ndarray, np.ndar
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, *(batch.column(k).slice(a, b - a) for k in (1, 2, 3))], ["x", "label", "part", "h"])
 
-    got = rows.select("text", "label", "part", "h").mapInArrow(run, "x array<double>, label int, part int, h long").toArrow().sort_by("h")
+    got = rows.select("text", "label", "part", "h").mapInArrow(workers.task(run), "x array<double>, label int, part int, h long").toArrow().sort_by("h")
     if got.num_rows == 0:
         width = len(extract(np.frombuffer(b"a", dtype=np.uint8), np.array([0, 1]))[0])
         return np.zeros((0, width)), np.zeros(0), np.zeros(0)
@@ -127,7 +128,7 @@ def scored(docs: DataFrame, extract, score, folds: int, held_out: int, cut: floa
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s, pa.float64())], ["doc_id", "score"])
         end()
 
-    out = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, "doc_id long, score double")
+    out = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(workers.task(run), "doc_id long, score double")
     held = F.coalesce(fold("doc_id", folds) == held_out, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragram.llm import storage
+from paragram.llm import storage, workers
 from paragram.llm.textbytes import mix64
 from paragram.llm.tokens import crc, encoded_rows
 
@@ -226,7 +226,7 @@ def write_shards(df: DataFrame, directory: str, tokenizer: str, end: int, id_col
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.rand(1).alias("s"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), "h", "s").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
-    return sorted(ordered.select("id", "text").mapInArrow(write, _MANIFEST).collect())
+    return sorted(ordered.select("id", "text").mapInArrow(workers.task(write, tokenizer), _MANIFEST).collect())
 
 
 def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFrame:
@@ -259,7 +259,7 @@ def read_shards(spark: SparkSession, directory: str, manifest: list) -> DataFram
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, looked_up boolean"
     if not todo:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).mapInArrow(read, schema)
+    return spark.createDataFrame(todo, "shard long, path string, start long").repartition(len(todo)).mapInArrow(workers.task(read), schema)
 
 
 def lookup(spark: SparkSession, directory: str, manifest: list, doc_ids: list[int | None]) -> DataFrame:

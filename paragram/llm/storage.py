@@ -8,7 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from paragram.llm import workers
+
 
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (tests), a folder of this machine is set once."""
@@ -76,16 +78,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def written_by(df: DataFrame, function, schema: str | StructType, name: str) -> DataFrame:
+def written_by(df: DataFrame, function, schema: str | StructType, name: str, needs: Hashable = None) -> DataFrame:
     """df.mapInArrow(function, schema) as a table in the shared folder, written by the Python workers themselves.
 
     What function yields goes from its worker to a file of its partition, without the way back through the JVM.  A task
     writes under a hidden name and renames, so a repeated task replaces its file whole.  Where pyarrow can't reach the
-    folder's file system, Spark writes the table.
+    folder's file system, Spark writes the table.  needs: the tool of the function, see ``workers.task``.
     """
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     if not reachable(shared_root(df.sparkSession)):
-        return written(df.mapInArrow(function, kind), name)
+        return written(df.mapInArrow(workers.task(function, needs), kind), name)
     folder, arrow = scratch(df.sparkSession, name), to_arrow_schema(kind)
 
     def run(batches):
@@ -118,7 +120,7 @@ def written_by(df: DataFrame, function, schema: str | StructType, name: str) ->
 
     spark = df.sparkSession
     with _freed(spark):
-        df.mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
+        df.mapInArrow(workers.task(run, needs), "part long").write.format("noop").mode("overwrite").save()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], kind)

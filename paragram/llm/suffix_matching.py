@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paragram.llm import pieces, storage
+from paragram.llm import pieces, storage, workers
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.textbytes import buffers, expand, slices
 from paragram.llm.tokens import crc
@@ -155,13 +155,8 @@ class Decoder:
         return b"".join(map(self.parts.__getitem__, ids))[1:]
 
 
-_TOOLS: dict[str, tuple[SuffixMatcher, Decoder]] = {}
-
-
 def tools(path: str) -> tuple[SuffixMatcher, Decoder]:
-    if path not in _TOOLS:
-        _TOOLS[path] = SuffixMatcher(path), Decoder(path)
-    return _TOOLS[path]
+    return workers.tool(("pieces", path), lambda: (SuffixMatcher(path), Decoder(path)))
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +171,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, ids array<int>")
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(workers.task(run, ("pieces", model)), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -188,7 +183,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             out = [tool.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return df.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, text string")
+    return df.selectExpr("CAST(doc_id AS LONG) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(workers.task(run, ("pieces", model)), "doc_id long, text string")
 
 
 def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,4 +205,4 @@ def digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, schema)
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(workers.task(run, ("pieces", model)), schema)

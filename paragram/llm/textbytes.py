@@ -26,6 +26,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 ONE, TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes from which a span is hashed by xxh3.
 LONG = 64
+#: Bytes behind a text that is read eight at a time.
+PAD = 16
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
@@ -60,11 +62,16 @@ def _row_edges(offsets: np.ndarray, n: int) -> np.ndarray:
     return edge[:n]
 
 
+def _views(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a number (unaligned views); for bytes with PAD more behind them."""
+    return np.ndarray((len(padded) - PAD // 2,), dtype="<u8", buffer=padded, strides=(1,))
+
+
 def _lanes(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as a number (unaligned views of one padded copy)."""
-    padded = np.zeros(len(raw) + 16, dtype=np.uint8)
+    """``_views`` of a padded copy."""
+    padded = np.zeros(len(raw) + PAD, dtype=np.uint8)
     padded[: len(raw)] = raw
-    return np.ndarray((len(raw) + 8,), dtype="<u8", buffer=padded, strides=(1,))
+    return _views(padded)
 
 
 def _eights(lanes: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
@@ -88,13 +95,13 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
-def same_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether raw[start:end] equals other[at:to], byte by byte."""
+def same_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray, padded: bool = False) -> np.ndarray:
+    """Whether raw[start:end] equals other[at:to], byte by byte; padded: other ends in PAD bytes that no span holds."""
     size = end - start
     same = size == to - at
     if not len(size):
         return same
-    one, two = _lanes(raw), _lanes(other)
+    one, two = _lanes(raw), _views(other) if padded else _lanes(other)
     left = np.flatnonzero(same & (size > 0))
     k = 0
     while len(left):

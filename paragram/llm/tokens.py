@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from paragram.llm import workers
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.textbytes import _SPACE, _row_edges, buffers, slices
 
@@ -79,13 +80,8 @@ class Encoder:
         return out, total[np.searchsorted(start, offsets)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return workers.tool(path, lambda: Encoder(path))
 
 
 def encoded_rows(column: pa.Array, path: str, end: int):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragram.llm import storage
+from paragram.llm import storage, workers
 from paragram.llm.chunks import ChunkCache
 from paragram.llm.features import _SIGN, Sums, upper_and_letters
 from paragram.llm.labelled import SAMPLE_ROWS, distinct_texts, training_rows
@@ -129,19 +129,20 @@ def learn_lexicons(rows: DataFrame, folds: int) -> list[Lexicon]:
         def counts():
             return pa.RecordBatch.from_pydict({"term": [t for t, _ in seen], "fold": pa.array([k for _, k in seen], pa.int32()), "toxic": [n[0] for n in seen.values()], "clean": [n[1] for n in seen.values()]})
 
-        for batch in batches:
+        few = (batch.slice(k, 200) for batch in batches for k in range(0, batch.num_rows, 200))
+        for batch in few:
             for text, label, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = {bare(x) for x in set(re.findall(r"[^\x20\x09-\x0D]+", text or ""))} - {""}
                 terms = {"w" + x for x in own} | {f"b{x[:n]}" for x in own for n in _PREFIXES if len(x) > n}
                 for t in terms | {""}:
                     seen.setdefault((t, part % folds), [0, 0])[label != 1] += 1
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield counts()
                     seen.clear()
         if seen:
             yield counts()
 
-    counted = rows.select("text", "label", "part").mapInArrow(count, "term string, fold int, toxic long, clean long")
+    counted = rows.select("text", "label", "part").mapInArrow(workers.task(count), "term string, fold int, toxic long, clean long")
     outside = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(folds) for c in ("toxic", "clean")]
     counted = counted.groupBy("term").agg(*outside, F.sum("toxic").alias(f"toxic_{folds}"), F.sum("clean").alias(f"clean_{folds}"))
     counted = storage.written(counted.where(f"term = '' OR toxic_{folds} >= 3"), "terms")
@@ -293,4 +294,4 @@ def accepted(docs: DataFrame, model: Classifier, text_col: str = "text") -> Data
                 yield batch.slice(a, b - a).filter(pa.array(s < CUT))
         model.lexicon.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(workers.task(run), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragram.llm import storage
+from paragram.llm import storage, workers
 from paragram.llm.shingles import counted, shingles
 from paragram.llm.textbytes import buffers, mix64, words_of
 
@@ -125,7 +125,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 part = [t or "" for t in texts[a : a + 500]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(as_text(fingerprints(part)))], ["doc_id", "fingerprint"])
 
-    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "doc_id long, fingerprint string")
+    return df.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(workers.task(run), "doc_id long, fingerprint string")
 
 
 class _Ranges:
@@ -186,7 +186,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], ["r", "known", "id", "h"])
 
     # A row for each range.
-    top = rows.select("known", "id", "h").mapInArrow(heads, "r long, known int, id long, h long").groupBy("r").agg(F.min(F.struct("known", "id", "h")).alias("head")).collect()
+    top = rows.select("known", "id", "h").mapInArrow(workers.task(heads), "r long, known int, id long, h long").groupBy("r").agg(F.min(F.struct("known", "id", "h")).alias("head")).collect()
     first = {x["r"]: tuple(x["head"]) for x in top}
     filled = sorted(first)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}
@@ -238,7 +238,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         if len(held) > 1:
             yield finish(held)
 
-    placed = rows.select("known", "id", "text", "h").mapInArrow(place, "r long, ahead boolean, known int, id long, text string, h long")
+    placed = rows.select("known", "id", "text", "h").mapInArrow(workers.task(place), "r long, ahead boolean, known int, id long, text string, h long")
     ordered = placed.repartition(parts, "r").sortWithinPartitions("r", "ahead", "known", "id", "h").select("r", "ahead", "known", "id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(run, schema) if filled else spark.createDataFrame([], schema)
+    return ordered.mapInArrow(workers.task(run), schema) if filled else spark.createDataFrame([], schema)
