@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for training."""
+"""Labelled documents for training: all of them by their features, and bounded samples of texts."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paragram.llm import storage, workers
 from paragram.llm.textbytes import buffers, mix64, slices, window_hashes, window_valid, words_of
 
-#: Most labelled rows that a classifier learns from.
+#: Most labelled rows that the toxicity classifier learns from.
 SAMPLE_ROWS = 20_000
 
 
@@ -34,6 +34,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return storage.written(joined.select("text", "label", F.pmod("h", F.lit(100)).cast("int").alias("part"), "h"), "labelled")
 
 
+def labelled_once(table: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """label (int), h, x of every labelled document of a table (doc_id, t, x) outside the held-out fold.
+
+    Rows without a label are left out; of an id's several labels the least counts, and of its several rows the one of least t,
+    so an id is one row.
+    """
+    open_ = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_out))
+    ids = open_.groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("label"))
+    once = table.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("t", "x")).alias("own"))
+    return once.join(ids, "_id").select("label", F.xxhash64("_id").alias("h"), F.col("own.x").alias("x"))
+
+
 #: Seeds of the minima of a sketch.
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 

@@ -61,8 +61,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paragram.llm import ranking
 
-    docs = documents(spark, sf_dir)
-    return ranking.rank(docs, ranking.train(docs, labels(spark, sf_dir)))
+    table = ranking.featured(documents(spark, sf_dir))
+    return ranking.ranked(table, ranking.learn(table, labels(spark, sf_dir)))
 
 
 def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
