@@ -93,3 +93,29 @@ def test_similarity(spark):
     for r, (a, b) in zip(df.select(similarity.fuzzy_ratio(F.col("a"), F.col("b")).alias("r"), similarity.ratio_bound(F.col("a"), F.col("b")).alias("u"), similarity.fuzzy_ratio(F.col("a"), F.col("b"), 0.8).alias("g")).collect(), pairs, strict=True):
         want = SequenceMatcher(None, a, b).ratio()
         assert r.r == want and r.u >= want and (r.g > 0.8) == (want > 0.8)
+
+
+def test_references_and_numbers_are_bounded_by_ascii_words(spark):
+    """As \\b of the SQL: a letter beyond ASCII ends a word."""
+    assert one(spark, T.normalize_signs, "ción 4879548823211410 ñ é12 a12 12b") == "ció ñ é a12 12b"
+    assert one(spark, S.lexical_tokens, "nació n 77 osción 5é") == ["nació", "osció", "é"]
+
+
+def test_plain_functions_match_the_columns(spark):
+    from paragram.functions import plain
+
+    random.seed(9)
+    signs = list("abcnz šṣḫñéÄ 12 45 ₃² <>[](){} -—– .,;:!?/| \"'_\n\t\xa0　\x00﻿") + ["fig. 12", "n 7", "the ", "note 3", " - ", "table", "<big>", "ción"]
+    texts = ["".join(random.choices(signs, k=random.randint(0, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    c = F.col("t")
+    made = {
+        plain.signs: T.normalize_signs(c), plain.canonical: T.canonical(c), plain.clean: T.clean_text(c), plain.clean_marks: T.clean_text_marks(c), plain.clean_digits: T.clean_text_digits(c), plain.tokens: S.lexical_tokens(c),
+        lambda x: plain.tokens(x, plain.clean_marks): S.lexical_tokens(c, T.clean_text_marks), plain.lines: S.lines(c), plain.units: S.units(c), plain.english_score: L.english_score(c), plain.alpha_ratio: T.alpha_ratio(c),
+        lambda x: plain.units(x, plain.clean_marks): S.normalized_units(c, T.clean_text_marks), lambda x: [plain.variants(w) for w in plain.tokens(x)]: F.transform(S.lexical_tokens(c), S.variants),
+        lambda x: plain.sentence_and_english(x, "v3"): L.sentence_like_v3(c) & L.english_like_share(c), lambda x: plain.sentence_and_english(x, "v31"): L.sentence_like_v31(c) & L.english_like_alpha(c),
+        lambda x: plain.sentence_and_english(x, "v32"): L.sentence_like_v32(c) & L.english_like_alpha(c, L.ENGLISH_33, 0.60),
+    }
+    rows = df.orderBy("i").select(*[v.alias(f"v{k}") for k, v in enumerate(made.values())]).collect()
+    for k, f in enumerate(made):
+        assert [f(x) for x in texts] == [r[k] for r in rows], k
