@@ -92,18 +92,41 @@ def _laid_out(df: DataFrame, order: tuple[str, ...], one_file: bool) -> DataFram
 
 def write_lines(df: DataFrame, path: str, column: str, *order: str, one_file: bool = False) -> None:
     """One line a row, in order over the folder's files; newlines inside become spaces."""
-    _write_lines(_laid_out(df, order, one_file), path, column)
+    _write_lines(_laid_out(df, order, False), path, column, one_file)
 
 
-def _write_lines(rows: DataFrame, path: str, column: str) -> None:
+def _write_lines(rows: DataFrame, path: str, column: str, one_file: bool = False) -> None:
     rows.select(F.regexp_replace(F.coalesce(column, F.lit("")), "[\\r\\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+    if one_file:
+        _merge(rows.sparkSession, path)
+
+
+def _merge(spark: SparkSession, path: str) -> None:
+    """The folder's files as one, in order of their names.  Sorted by many tasks, streamed here in small pieces: no task holds all rows."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    fs = hadoop.fs.Path(path).getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(hadoop.fs.Path(path)) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    whole = hadoop.fs.Path(path, "_whole")
+    out = fs.create(whole, True)
+    try:
+        for part in parts:
+            source = fs.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    for part in parts:
+        fs.delete(part, False)
+    fs.rename(whole, hadoop.fs.Path(path, "part-00000.txt"))
 
 
 def write_parallel(df: DataFrame, src: str, tgt: str, *order: str, one_file: bool = False) -> None:
     """Both sides in the same order, sorted once."""
-    with kept(_laid_out(df.select("src", "tgt", *order), order, one_file)) as rows:
-        _write_lines(rows, src, "src")
-        _write_lines(rows, tgt, "tgt")
+    with kept(_laid_out(df.select("src", "tgt", *order), order, False)) as rows:
+        _write_lines(rows, src, "src", one_file)
+        _write_lines(rows, tgt, "tgt", one_file)
 
 
 def write_csv(df: DataFrame, path: str, columns: dict[str, str] | list[str], *order: str, one_file: bool = False) -> None:

@@ -77,3 +77,28 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.start(stream.mined_stream(pages_), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select(F.countDistinct("page_id")).first()[0] == 6
+
+
+def test_one_file_is_merged_from_sorted_files(spark, tmp_path):
+    """No task holds all rows: the files are sorted by many tasks and streamed into one, in order."""
+    import random
+
+    rows = [(i, f"line {i}") for i in range(3000)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "i int, src string").withColumn("tgt", F.upper("src")).repartition(6)
+    tasks = []
+    real = io._write_lines
+
+    def counted(ordered, *args):
+        tasks.append(ordered.rdd.getNumPartitions())
+        real(ordered, *args)
+
+    io._write_lines = counted
+    try:
+        io.write_parallel(df, f"{tmp_path}/s", f"{tmp_path}/t", "i", one_file=True)
+    finally:
+        io._write_lines = real
+    assert min(tasks) > 1
+    for side, f in (("s", str), ("t", str.upper)):
+        files = list((tmp_path / side).glob("part-*"))
+        assert len(files) == 1 and files[0].read_text().splitlines() == [f(f"line {i}") for i in range(3000)]
